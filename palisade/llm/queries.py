@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, records, simhash, token_counts
-from .common import table
+from . import bpe, fingerprints, mixing, quality, records, simhash, token_counts
+from .common import table, written
 
 
 def vocabulary(name: str) -> str:
@@ -23,11 +23,26 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return records.token_records(docs, vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t-\r]+")).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("key"))
+    found = mixing.mixed(written(docs, "sizes"), F.col("size"), weights=(1, 2, 3), max_copies=3, key=F.col("key"))
+    return found.select(
+        "doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+        (F.col("__copies") * F.col("size")).alias("taken"),
+    )
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), decoded=True)
     return both.select(
@@ -51,7 +66,49 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_groups, op3_token_records, op6_bpe_round_trip, op9_fingerprints, op10_token_counts)
+    f.__name__: f for f in (op1_simhash_groups, op2_quality_rules, op3_token_records, op5_source_mix, op6_bpe_round_trip, op9_fingerprints, op10_token_counts)
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"""string_split_regex(coalesce(text, ''), '[ \t-\r]+')"""
+
+OP2_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT k, doc_id, text, list_filter({_WORDS}, lambda x: x <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines
+  FROM d
+), g AS (
+  SELECT k, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+  FROM (SELECT k, words, unnest(range(1, len(words) - 1)) AS i FROM w)
+), twice AS (
+  SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, gram) AS n FROM g) WHERE n > 1
+), covered AS (
+  SELECT k, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY k
+), m AS (
+  SELECT w.doc_id, w.text,
+         len(words)::BIGINT AS n_words,
+         length(array_to_string(words, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         len(lines)::BIGINT AS n_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+         len(list_filter(words, lambda x: NOT regexp_matches(x, '\p{{L}}'))) AS without_letters,
+         len(regexp_extract_all(text, '(?m)^[ \t]*[-*•]')) AS bullets,
+         len(regexp_extract_all(text, '(?m)(\.\.\.|…)[ \t]*$')) AS ellipses
+  FROM w LEFT JOIN covered USING (k)
+), b AS (
+  SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed
+            OR word_chars < {quality.MIN_WORD_CHARS} * n_words OR word_chars > {quality.MAX_WORD_CHARS} * n_words
+            OR 100 * n_symbols > {quality.MAX_SYMBOLS_PERCENT} * n_words
+            OR 100 * n_dup_lines > {quality.MAX_DUP_LINES_PERCENT} * n_lines
+            OR 100 * without_letters > {100 - quality.MIN_ALPHA_PERCENT} * n_words
+            OR 100 * bullets > {quality.MAX_BULLET_PERCENT} * n_lines
+            OR 100 * ellipses > {quality.MAX_ELLIPSIS_PERCENT} * n_lines) AS kept
+FROM b
+"""
+
+ORACLE: dict[str, str] = {"op2_quality_rules": OP2_SQL}
