@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, mixing, quality, records, simhash, token_counts
+from . import bpe, fingerprints, mixing, quality, records, sharding, simhash, token_counts
 from .common import table, written
 
 
@@ -53,6 +53,11 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(table(spark, sf_dir, "documents"), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.compared_with_edits(table(spark, sf_dir, "documents"))
     return found.select(
@@ -66,7 +71,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_groups, op2_quality_rules, op3_token_records, op5_source_mix, op6_bpe_round_trip, op9_fingerprints, op10_token_counts)
+    f.__name__: f for f in (op1_simhash_groups, op2_quality_rules, op3_token_records, op5_source_mix, op6_bpe_round_trip, op7_shards, op9_fingerprints, op10_token_counts)
 }
 
 _WORDS = r"""string_split_regex(coalesce(text, ''), '[ \t-\r]+')"""
