@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, mixing, quality, records, sharding, simhash, token_counts
+from . import bpe, fingerprints, html_extract, lines, mixing, quality, records, sharding, simhash, token_counts
 from .common import table, written
 
 
@@ -33,6 +33,11 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(docs, vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t-\r]+")).cast("long")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("key"))
@@ -58,6 +63,10 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprints.compared_with_edits(table(spark, sf_dir, "documents"))
     return found.select(
@@ -71,7 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_groups, op2_quality_rules, op3_token_records, op5_source_mix, op6_bpe_round_trip, op7_shards, op9_fingerprints, op10_token_counts)
+    f.__name__: f for f in (op1_simhash_groups, op2_quality_rules, op3_token_records, op4_line_dedup, op5_source_mix, op6_bpe_round_trip, op7_shards, op8_main_text, op9_fingerprints, op10_token_counts)
 }
 
 _WORDS = r"""string_split_regex(coalesce(text, ''), '[ \t-\r]+')"""

@@ -24,14 +24,17 @@ shared store serves as well as a shared folder.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -82,25 +85,82 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
 
 
-_ENCODERS: dict[str, tuple] = {}
+class PieceEncoder:
+    """Ids of pieces between spaces, as little-endian uint32.
 
+    A vocabulary whose words end in a suffix tells by its ids where a word ends. So
+    new pieces are cut into pre-tokens, a bounded cache holds the pre-tokens' ids, and
+    those that it lacks are encoded many to a text and told apart by their last ids.
+    Any other vocabulary, and a piece with a special string, is encoded by itself.
+    """
 
-def _encoder(path: str):
-    """(cache of little-endian uint32 ids by space-delimited piece, size of the vocabulary)."""
-    if path not in _ENCODERS:
+    JOINED = 256
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-
-        def many(pieces: list[str]):
-            for at in range(0, len(pieces), 4096):
-                for e in tok.encode_batch(pieces[at : at + 4096], add_special_tokens=False):
-                    yield np.array(e.ids, "<u4").tobytes()
-
-        _ENCODERS[path] = WorkerCache(many), tok.get_vocab_size(with_added_tokens=True)
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.size = max(vocab.values()) + 1
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        suffix = spec["model"].get("end_of_word_suffix")
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        self.split = regex.compile(steps[0]["pattern"]["Regex"]) if suffix and steps and steps[0]["type"] == "Split" else None
+        self.last = np.zeros(self.size, bool)
+        if suffix:
+            self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+            self.last[[vocab[t] for t in self.added]] = False
+        self.words = WorkerCache(self._words, limit=300_000)
+
+    def _alone(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 2048):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(pieces[at : at + 2048], add_special_tokens=False)]
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 64 * self.JOINED):
+            parts = [words[k : k + self.JOINED] for k in range(at, min(at + 64 * self.JOINED, len(words)), self.JOINED)]
+            for part, e in zip(parts, self.tok.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(part) and ends[-1] == len(ids):
+                    data, ends = ids.tobytes(), (4 * ends).tolist()
+                    out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                else:
+                    out += self._alone(part)
+        return out
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        if self.split is None:
+            return self._alone(pieces)
+        cut: list[list[str] | None] = []
+        for p in pieces:
+            if p.isascii():
+                cut.append(None if "<|" in p and any(a in p for a in self.added) else self.split.findall(p.lower()))
+            else:
+                cut.append(None if any(a in p for a in self.added) else self.split.findall(unicodedata.normalize("NFC", p)))
+        self.words.ready(c for c in cut if c)
+        get = self.words.__getitem__
+        out = [b"".join(map(get, c)) if c is not None else self._alone([p])[0] for p, c in zip(pieces, cut, strict=True)]
+        self.words.done()
+        return out
+
+
+_ENCODERS: dict[str, tuple[WorkerCache, int]] = {}
+
+
+def _encoder(path: str) -> tuple[WorkerCache, int]:
+    """The worker's cache of pieces, and the size of the vocabulary."""
+    if path not in _ENCODERS:
+        own = PieceEncoder(path)
+        _ENCODERS[path] = WorkerCache(own, limit=300_000), own.size
     return _ENCODERS[path]
 
 
