@@ -19,7 +19,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3, bits=64)
     return found.select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
 
 

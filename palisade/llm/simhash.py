@@ -1,28 +1,31 @@
 r"""SimHash near-duplicate groups by bit-sliced comparison.
 
-A document's fingerprint has bit b set if over half of the XXH64 hashes (seed 42)
-of its word shingles have it. Fingerprints at a Hamming distance up to ``radius``
-are linked; a component is what links reach.
+A document's fingerprint has bit b set if over half of the hashes of its word shingles
+have it: 64 bits of XXH64 (seed 42), or a multiple of 128 bits of XXH3. Fingerprints at
+a Hamming distance up to ``radius`` are linked; a component is what links reach.
 
-How all links are found without comparing all pairs:
+How links are found without comparing all pairs:
 
 1. Equal fingerprints collapse to one row, so copies cost nothing further.
-2. The 64 bits fall into ``radius + 2`` blocks. Two fingerprints within the radius
-   agree in two blocks at least, so each is filed under every pair of blocks (six
-   keys of 32 bits at radius 2): a key is selective also among 10^10 fingerprints.
+2. Each fingerprint is filed under several keys, each a part of its bits. With 64 bits
+   and a small radius the bits fall into ``radius + 2`` blocks, and a key is a pair of
+   blocks: two fingerprints within the radius agree in two blocks at least, so none is
+   missed (``block_masks``). Wide fingerprints with a large radius, as a similarity of
+   0.8 asks for, are filed under ``SAMPLED`` keys of ``SAMPLED_BITS`` bits drawn at
+   random, of which similar fingerprints share one with high probability (``sampled_masks``).
 3. Keys with one fingerprint are dropped by a count. A key with over ``TILE``
    fingerprints is cut into tiles, and each pair of tiles is compared by itself, so
    no task holds an unbounded key.
 4. Within a key, 64 fingerprints stand in one machine word per bit plane. A query's
-   distance to 64 others grows by one XOR a plane, added with carry-save counters
-   that saturate above the radius; a block whose 64 lanes all exceed the radius is
-   abandoned.
+   distance to 64 others grows by one XOR a plane, added with carry-save counters;
+   a block whose 64 lanes all exceed the radius is abandoned.
 5. A task returns a spanning forest of each key's links, never its pairs. Connected
    components over these edges are DataFrame joins (``components``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,25 +41,46 @@ from .components import components
 SEED = 42
 #: Fingerprints of one key that one task compares at once, for a pair of tiles twice as many.
 TILE = 4096
+#: Keys of a wide fingerprint and bits of each. Of pairs whose bits differ at a rate of
+#: 0.15 (similarity 0.8) a key keeps one in 19, so that 48 keys miss one in 13; at a rate
+#: of 0.12 they miss one in 140.
+SAMPLED, SAMPLED_BITS = 48, 18
+#: Rows that are compared at once (numpy calls are dear for fewer).
+_ROWS = 1 << 14
 #: Hashes whose bits are counted at once.
 _COUNTED = 255 << 7
 _SHIFTS = np.arange(8, dtype=np.uint64)[:, None]
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The 64-bit fingerprint of one text (module docstring); no words: 0."""
+def radius_of(similarity: float, bits: int) -> int:
+    """The distance within which fingerprints of sets of that Jaccard similarity (and like
+    sizes) mostly stay: the angle's share of the bits, and one standard deviation."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return int(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def fingerprint(text: str | None, shingle: int, bits: int = 64) -> np.ndarray:
+    """The words (uint64) of one text's fingerprint; without words all bits are 0."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, only \x20 \x09-\x0D
     if not words:
-        return 0
-    if len(words) < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    digest, n = xxhash.xxh64_intdigest, len(words) - shingle + 1
-    total = np.zeros(64, np.int64)
+        return np.zeros(bits // 64, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    total = np.zeros(bits, np.int64)
     for at in range(0, n, _COUNTED):
         part = words[at : at + _COUNTED + shingle - 1]
-        hashes = np.fromiter((digest(b" ".join(s), SEED) for s in zip(*(part[k:] for k in range(shingle)), strict=False)), np.uint64)
-        total += bit_counts(hashes)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+        shingles = map(b" ".join, zip(*(part[k:] for k in range(shingle)), strict=False)) if n > 1 or len(words) == shingle else [b" ".join(words)]
+        if bits == 64:
+            hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)[:, None]
+        else:
+            wide = xxhash.xxh3_128_digest
+            if bits == 256:
+                data = b"".join([wide(s, SEED) + wide(s, SEED + 1) for s in shingles])
+            else:
+                data = b"".join([wide(s, SEED + k) for s in shingles for k in range(bits // 128)])
+            hashes = np.frombuffer(data, "<u8").reshape(-1, bits // 64)
+        for k in range(bits // 64):
+            total[64 * k : 64 * k + 64] += bit_counts(hashes[:, k])
+    return np.packbits(2 * total > n, bitorder="little").view("<u8")
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -69,34 +93,55 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(8, -1, 8).sum(axis=1, dtype=np.int64).T.reshape(64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fp): the fingerprint of every whole text as a signed long. A null
+def fingerprints(docs: DataFrame, shingle: int = 5, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, f0, f1 ...): the fingerprint of every whole text as signed longs. A null
     or wordless text has 0; fewer words than a shingle count as one shingle."""
+    words = bits // 64
+    if bits != 64 and bits % 128:
+        raise ValueError("a fingerprint has 64 bits or a multiple of 128")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
+            fps = np.array([fingerprint(t, shingle, bits) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(words))], names=["id", *names(words)])
 
     kind = dict(docs.dtypes)[id_col]
-    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_batches(rows, run, f"id {kind}, " + ", ".join(f"{c} long" for c in names(words)))
+
 
+def names(words: int) -> list[str]:
+    return [f"f{k}" for k in range(words)]
 
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 2 blocks that make up the 64 bits."""
+
+def block_masks(radius: int) -> list[list[int]]:
+    """For each key the bits that it takes of the only word: pairs of radius + 2 blocks."""
     n = radius + 2
     edges = [64 * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    block = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [[x | y] for x, y in combinations(block, 2)]
+
+
+def sampled_masks(bits: int, keys: int = SAMPLED, key_bits: int = SAMPLED_BITS) -> list[list[int]]:
+    """For each key the bits that it takes of each word, drawn with a fixed seed."""
+    rng = np.random.Generator(np.random.PCG64(SEED))
+    out = []
+    for _ in range(keys):
+        chosen = rng.permutation(bits)[:key_bits].tolist()
+        out.append([sum(1 << (b % 64) for b in chosen if b // 64 == w) for w in range(bits // 64)])
+    return out
 
 
 def within_run(fps: np.ndarray, start: np.ndarray, end: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Bit-sliced distances. fps: uint64, rows of a run together; row i's run is
-    [start[i], end[i]). Yields (rows, words, masks): bit k of a mask says that row
+    """Bit-sliced distances. fps: uint64 (rows, words), rows of a run together; row i's
+    run is [start[i], end[i]). Yields (rows, words, masks): bit k of a mask says that row
     64 * word + k is of the row's run, later than it, and within the radius."""
-    n = len(fps)
+    n, width = fps.shape
     n_words = -(-n // 64)
-    bits = np.unpackbits(np.concatenate([fps, np.zeros(n_words * 64 - n, np.uint64)]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.ascontiguousarray(np.packbits(bits.T.reshape(64, n_words, 64), axis=2, bitorder="little")).view("<u8").reshape(64, n_words)
+    padded = np.zeros((n_words * 64, width), "<u8")
+    padded[:n] = fps
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
+    planes = np.ascontiguousarray(np.packbits(bits.T.reshape(64 * width, n_words, 64), axis=2, bitorder="little")).view("<u8").reshape(64 * width, n_words)
     one, full = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
     row = np.arange(n)
     step = 0
@@ -117,8 +162,8 @@ def within_run(fps: np.ndarray, start: np.ndarray, end: np.ndarray, radius: int)
             # counters[c]: bit c of each lane's distance; over: lanes beyond the radius
             counters = [np.zeros(len(rows), np.uint64) for _ in range((radius + 1).bit_length())]
             over = ~valid
-            for b in range(64):
-                carry = planes[b][w] ^ (np.uint64(0) - ((query >> np.uint64(b)) & one))
+            for b in range(64 * width):
+                carry = planes[b][w] ^ (np.uint64(0) - ((query[:, b // 64] >> np.uint64(b % 64)) & one))
                 for c in range(len(counters)):
                     counters[c], carry = counters[c] ^ carry, counters[c] & carry
                 over |= carry
@@ -184,99 +229,105 @@ def _forest(fps: np.ndarray, start: np.ndarray, end: np.ndarray, radius: int) ->
     return rows, roots[rows]
 
 
-def _link_runs(radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] | None = None
+def _link_runs(radius: int, words: int):
+    """Over rows (key, vertex, words) sorted by key: edges (u, v) of each key's forest."""
 
-        def links(block, key, fp):
-            """All runs of these sorted rows."""
-            change = np.flatnonzero((np.diff(key) != 0) | (np.diff(block) != 0)) + 1
-            starts = np.concatenate([[0], change])
-            lengths = np.diff(np.concatenate([starts, [len(key)]]))
-            start, end = np.repeat(starts, lengths), np.repeat(starts + lengths, lengths)
-            rows, roots = _forest(fp.view(np.uint64), start, end, radius)
-            return pa.RecordBatch.from_arrays([pa.array(fp[rows]), pa.array(fp[roots])], names=["u", "v"])
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        key, vertex = (rows.column(k).to_numpy() for k in range(2))
+        fps = np.stack([rows.column(2 + k).to_numpy() for k in range(words)], axis=1).view(np.uint64)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+        lengths = np.diff(np.concatenate([starts, [len(key)]]))
+        start, end = np.repeat(starts, lengths), np.repeat(starts + lengths, lengths)
+        at, roots = _forest(fps, start, end, radius)
+        return pa.RecordBatch.from_arrays([pa.array(vertex[at]), pa.array(vertex[roots])], names=["u", "v"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
         for b in batches:
-            now = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            if not len(now[0]):
+            if not b.num_rows:
                 continue
-            if rest is not None:
-                now = tuple(np.concatenate([a, c]) for a, c in zip(rest, now, strict=True))
-            differs = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
-            whole = int(differs[-1]) + 1 if len(differs) else 0
-            rest = tuple(a[whole:] for a in now)
+            held.append(b)
+            n += b.num_rows
+            if n < _ROWS:
+                continue
+            rows = pa.Table.from_batches(held)
+            key = rows.column(0).to_numpy()
+            whole = int(np.searchsorted(key, key[-1]))  # the last key may go on
             if whole:
-                yield links(*(a[:whole] for a in now))
-        if rest is not None:
-            yield links(*rest)
+                yield links(rows.slice(0, whole))
+            held = rows.slice(whole).combine_chunks().to_batches()
+            n -= whole
+        if held:
+            yield links(pa.Table.from_batches(held))
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """Edges (u, v) between the fingerprints of ``distinct`` (column fp, long, no
-    repeats): those within each key's spanning forest, which connect just what all
-    pairs at up to ``radius`` differing bits would connect."""
-    parts = blocks(radius)
-    keys = []
-    for k, pair in enumerate(combinations(parts, 2)):
-        (s1, w1), (s2, w2) = pair
-        low = F.shiftrightunsigned("fp", s1).bitwiseAND(F.lit((1 << w1) - 1))
-        high = F.shiftrightunsigned("fp", s2).bitwiseAND(F.lit((1 << w2) - 1))
-        keys.append(F.struct(F.lit(k).alias("block"), F.shiftleft(high, w1).bitwiseOR(low).alias("key")))
-    filed = distinct.select("fp", F.inline(F.array(*keys)))
-    counts = filed.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1")
+def links(distinct: DataFrame, words: int, radius: int, masks: list[list[int]], tile: int = TILE) -> DataFrame:
+    """Edges (u, v) between the vertices of ``distinct`` (vertex, f0 ...; no repeats):
+    those of each key's spanning forest, which connect what all pairs under one key at
+    up to ``radius`` differing bits would connect."""
+    own = names(words)
+
+    def key(k: int, mask: list[int]):
+        parts = [F.col(c).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for c, m in zip(own, mask, strict=True) if m]
+        return F.xxhash64(F.lit(k), *parts)
+
+    filed = distinct.select("vertex", *own, F.explode(F.array(*[key(k, m) for k, m in enumerate(masks)])).alias("key"))
+    counts = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / tile)
-    own = F.pmod(F.xxhash64("fp"), tiles)
-    held = (
-        filed.join(counts, ["block", "key"])
-        .select("block", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-        .select(
-            F.xxhash64("block", "key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "block", "fp"
-        )
+    held = filed.join(counts, "key").select("key", "vertex", *own, tiles.alias("tiles")).select(
+        "vertex", *own, F.explode(F.transform(
+            F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1),
+            lambda other: F.xxhash64("key", F.least(other, F.pmod(F.xxhash64("vertex"), F.col("tiles"))), F.greatest(other, F.pmod(F.xxhash64("vertex"), F.col("tiles")))),
+        )).alias("key")
     )
-    # as many partitions as the shuffle setting says: the runs are compared in Python, where a partition is one stream
-    held = held.repartition("block", "key").sortWithinPartitions("block", "key", "fp")
-    held.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return map_batches(held.select("block", "key", "fp"), _link_runs(radius), "u long, v long")
+    held = held.repartition("key").sortWithinPartitions("key")
+    return map_batches(held.select("key", "vertex", *own), _link_runs(radius, words), "u long, v long")
 
 
 def near_duplicates(
-    docs: DataFrame, radius: int = 3, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, radius: int = 3, shingle: int = 5, bits: int = 64, masks: list[list[int]] | None = None,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs``: id_col, fp (long) and component_id, the least id
-    of the fingerprints that links reach from its own.
+    """One row per row of ``docs``: id_col, f0 ... (the fingerprint's longs) and
+    component_id, the least id of the fingerprints that links reach from its own.
 
     Null and wordless texts have fingerprint 0 and are linked like any other. A null
     id is grouped like any other and never the least unless all ids of its component
     are null. Repeated rows give repeated rows; an empty table gives none. Other
     columns are not read.
     """
-    fps = written(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    least = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(least.select("fp"), radius))
-    classes = least.join(roots, least["fp"] == roots["vertex"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    words = bits // 64
+    own = names(words)
+    masks = masks or (block_masks(radius) if bits == 64 else sampled_masks(bits))
+    vertex = F.col("f0") if words == 1 else F.xxhash64(*own)
+    fps = written(fingerprints(docs, shingle, bits, id_col, text_col).withColumn("vertex", vertex), "simhash")
+    least = fps.groupBy("vertex", *own).agg(F.min("id").alias("least"))
+    roots = components(links(least.select("vertex", *own), words, radius, masks))
+    classes = least.join(roots, "vertex", "left").select("vertex", "least", F.coalesce("root", "vertex").alias("root"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = classes.join(named, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    of = classes.join(named, "root").select("vertex", "component_id")
+    return fps.join(of, "vertex").select(F.col("id").alias(id_col), *own, "component_id")
 
 
-def hexed(fp: str = "fp"):
+def hexed(fp: str = "f0"):
     """A fingerprint column as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: a row whose id is the
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the row whose id is the
     group's component_id. Among rows that share that id, the one with the least text
-    hash stays; identical rows leave one. Columns stay as they are."""
-    found = near_duplicates(docs, radius, shingle, id_col, text_col)
-    # a component without any id keeps the rows of null id as one
-    keep = found.groupBy("component_id").agg(F.min(F.struct("fp")).alias("_fp")).select("component_id")
+    hash stays; identical rows leave one. Columns stay as they are.
+
+    Documents are near-duplicates if their shingles' similarity is ``similarity`` or
+    more, as the distance of wide fingerprints measures it (``radius_of``).
+    """
+    found = near_duplicates(docs, radius_of(similarity, bits), shingle, bits, id_col=id_col, text_col=text_col)
+    keep = found.select("component_id").distinct()
     kept = docs.join(keep, docs[id_col].eqNullSafe(keep["component_id"]), "left_semi")
-    rank = F.struct(F.xxhash64(text_col), *[F.col(c).cast("string") for c, _ in docs.dtypes if c != id_col])
-    first = kept.groupBy(id_col).agg(F.min_by(F.struct(*kept.columns), rank).alias("_row"))
+    rank = F.struct(F.xxhash64(text_col), *[F.col(f"`{c}`").cast("string") for c, _ in docs.dtypes if c != id_col])
+    first = kept.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in kept.columns]), rank).alias("_row"))
     return first.select("_row.*")
