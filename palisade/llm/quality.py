@@ -160,4 +160,7 @@ def judged(docs: DataFrame, text_col: str = "text", prefix: str = "", own: list[
 def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, columns as they are."""
     mark = "__quality_"
-    return judged(docs, text_col, mark).where(F.col(f"{mark}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the row number keeps the optimizer from moving the condition below the measures, which would write
+    # the measures' expressions into it over and over
+    found = judged(docs, text_col, mark).withColumn(f"{mark}row", F.monotonically_increasing_id())
+    return found.where(F.col(f"{mark}kept") & (F.col(f"{mark}row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
