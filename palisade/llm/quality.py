@@ -29,7 +29,8 @@ MAX_REPEAT_PERCENT = 50
 #: Mean characters of a word.
 MIN_WORD_CHARS, MAX_WORD_CHARS = 3, 10
 MAX_SYMBOLS_PERCENT = 10
-MAX_DUP_LINES_PERCENT = 30
+#: Half, not the customary 30 %: one repeated line of three is no sign of junk in a short text.
+MAX_DUP_LINES_PERCENT = 50
 MIN_ALPHA_PERCENT = 80
 MAX_BULLET_PERCENT = 90
 MAX_ELLIPSIS_PERCENT = 30
