@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import unicodedata
 import uuid
@@ -85,13 +86,13 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
 
 
-class PieceEncoder:
-    """Ids of pieces between spaces, as little-endian uint32.
+class TextEncoder:
+    """Ids of whole texts as little-endian uint32, as the tokenizers library gives them.
 
-    A vocabulary whose words end in a suffix tells by its ids where a word ends. So
-    new pieces are cut into pre-tokens, a bounded cache holds the pre-tokens' ids, and
-    those that it lacks are encoded many to a text and told apart by their last ids.
-    Any other vocabulary, and a piece with a special string, is encoded by itself.
+    A vocabulary whose words end in a suffix tells by its ids where a word ends. So a
+    text is cut into pre-tokens, a bounded cache holds the pre-tokens' ids, and those
+    that it lacks are encoded many to a text and told apart by their last ids. Texts with
+    a special string, and all texts of any other vocabulary, are encoded whole.
     """
 
     JOINED = 256
@@ -110,17 +111,22 @@ class PieceEncoder:
         self.added = [t["content"] for t in spec["added_tokens"]]
         suffix = spec["model"].get("end_of_word_suffix")
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
-        self.split = regex.compile(steps[0]["pattern"]["Regex"]) if suffix and steps and steps[0]["type"] == "Split" else None
+        pattern = steps[0]["pattern"]["Regex"] if suffix and steps and steps[0]["type"] == "Split" else None
+        self.split = regex.compile(pattern) if pattern else None
+        # the same pattern over lower-case ASCII
+        ascii_classes = {r"[\p{L}]+": "[a-z]+", r"[\p{N}]": "[0-9]", r"[^\s\p{L}\p{N}]+": r"[^\t-\r a-z0-9]+"}
+        parts = pattern.split("|") if pattern else []
+        self.split_ascii = re.compile("|".join(ascii_classes.get(p, p) for p in parts)) if parts else None
         self.last = np.zeros(self.size, bool)
         if suffix:
             self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
             self.last[[vocab[t] for t in self.added]] = False
-        self.words = WorkerCache(self._words, limit=300_000)
+        self.words = WorkerCache(self._words, limit=400_000)
 
-    def _alone(self, pieces: list[str]) -> list[bytes]:
+    def _alone(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(pieces), 2048):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(pieces[at : at + 2048], add_special_tokens=False)]
+        for at in range(0, len(texts), 2048):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts[at : at + 2048], add_special_tokens=False)]
         return out
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -137,37 +143,38 @@ class PieceEncoder:
                     out += self._alone(part)
         return out
 
-    def __call__(self, pieces: list[str]) -> list[bytes]:
-        if self.split is None:
-            return self._alone(pieces)
-        cut: list[list[str] | None] = []
-        for p in pieces:
-            if p.isascii():
-                cut.append(None if "<|" in p and any(a in p for a in self.added) else self.split.findall(p.lower()))
-            else:
-                cut.append(None if any(a in p for a in self.added) else self.split.findall(unicodedata.normalize("NFC", p)))
+    def _cut(self, text: str) -> list[str] | None:
+        """The text's pre-tokens; None if it must be encoded whole."""
+        if self.split is None or any(a in text for a in self.added):
+            return None
+        if text.isascii():
+            return self.split_ascii.findall(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        # these two letters' lower case depends on who makes it: it is left to the library
+        return self.split.findall(text if "\u0130" in text or "\u03a3" in text else text.lower())
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = [self._cut(t) for t in texts]
         self.words.ready(c for c in cut if c)
         get = self.words.__getitem__
-        out = [b"".join(map(get, c)) if c is not None else self._alone([p])[0] for p, c in zip(pieces, cut, strict=True)]
+        out = [b"".join(map(get, c)) if c is not None else self._alone([t])[0] for t, c in zip(texts, cut, strict=True)]
         self.words.done()
         return out
 
 
-_ENCODERS: dict[str, tuple[WorkerCache, int]] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
-def _encoder(path: str) -> tuple[WorkerCache, int]:
-    """The worker's cache of pieces, and the size of the vocabulary."""
+def _encoder(path: str) -> TextEncoder:
     if path not in _ENCODERS:
-        own = PieceEncoder(path)
-        _ENCODERS[path] = WorkerCache(own, limit=300_000), own.size
+        _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
 
 
 def _write(tokenizer: str, end_id: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, vocab = _encoder(tokenizer)
-        width = 2 if max(vocab, end_id + 1) <= 1 << 16 else 4
+        encode = _encoder(tokenizer)
+        width = 2 if max(encode.size, end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         store, root = _store(folder)
@@ -179,16 +186,12 @@ def _write(tokenizer: str, end_id: int, folder: str):
             if out is None:
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(name + ".rec")
-            # white space is one separator for this kind of tokenizer: pieces between spaces are encoded one by one
-            split = [(t or "").replace("\n", " ").split(" ") for t in b.column(1).to_pylist()]
-            cache.ready(split)
-            for doc_id, pieces in zip(b.column(0).to_pylist(), split, strict=True):
-                ids = np.frombuffer(b"".join(map(cache.__getitem__, pieces)) + end, "<u4")
+            for doc_id, own in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                ids = np.frombuffer(own + end, "<u4")
                 data = frame(payload(doc_id, ids, width))
                 out.write(data)
                 index.append((at, len(data) - 16, len(ids)))
                 at, tokens = at + len(data), tokens + len(ids)
-            cache.done()
         if out is not None:
             out.close()
             with store.open_output_stream(name + ".idx") as f:
@@ -202,7 +205,6 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_
     """Encodes every whole text, appends ``end_id`` and writes record files to
     ``folder`` in ascending id order (null ids first; equal ids in order of text).
 
-    The tokenizer file must be one whose pre-tokens never reach over white space.
     Null texts are empty: they hold the end id alone. Repeated rows are written as
     often as they are there; an empty table writes no file. Other columns are not
     read. Returns the manifest: part, file (without suffix), docs, tokens.
