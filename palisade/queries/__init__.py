@@ -1,7 +1,7 @@
 """Registered queries: (spark, sf_dir) -> DataFrame, and DuckDB SQL for the same rows."""
 
-from . import fields, geometry, loops, pages, replies, store, text
+from . import fields, geometry, loops, pages, replies, store, streams, text
 
-MODULES = [text, geometry, fields, replies, loops, pages, store]
+MODULES = [text, geometry, fields, replies, loops, pages, store, streams]
 QUERIES = {n: f for m in MODULES for n, f in m.QUERIES.items()}
 ORACLE = {n: s for m in MODULES for n, s in m.ORACLE.items()}
