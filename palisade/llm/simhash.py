@@ -42,9 +42,10 @@ SEED = 42
 #: Fingerprints of one key that one task compares at once, for a pair of tiles twice as many.
 TILE = 4096
 #: Keys of a wide fingerprint and bits of each. Of pairs whose bits differ at a rate of
-#: 0.15 (similarity 0.8) a key keeps one in 19, so that 48 keys miss one in 13; at a rate
-#: of 0.12 they miss one in 140.
-SAMPLED, SAMPLED_BITS = 48, 18
+#: 0.15 (similarity 0.8) a key keeps one in 49, so that 72 keys find three in four; at a
+#: rate of 0.12 (0.86) they find 19 in 20. Fewer bits find more and let keys of unlike
+#: documents meet, the more so the larger the table.
+SAMPLED, SAMPLED_BITS = 72, 24
 #: Rows that are compared at once (numpy calls are dear for fewer).
 _ROWS = 1 << 14
 #: Hashes whose bits are counted at once.
@@ -274,10 +275,11 @@ def links(distinct: DataFrame, words: int, radius: int, masks: list[list[int]],
         parts = [F.col(c).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for c, m in zip(own, mask, strict=True) if m]
         return F.xxhash64(F.lit(k), *parts)
 
-    filed = distinct.select("vertex", *own, F.explode(F.array(*[key(k, m) for k, m in enumerate(masks)])).alias("key"))
+    # one exchange of (key, vertex) serves the counts and the join with them; words follow for keys that are shared
+    filed = distinct.select("vertex", F.explode(F.array(*[key(k, m) for k, m in enumerate(masks)])).alias("key")).repartition("key")
     counts = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / tile)
-    held = filed.join(counts, "key").select("key", "vertex", *own, tiles.alias("tiles")).select(
+    shared = filed.join(counts, "key").select("key", "vertex", F.ceil(F.col("n") / tile).alias("tiles")).join(distinct, "vertex")
+    held = shared.select(
         "vertex", *own, F.explode(F.transform(
             F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1),
             lambda other: F.xxhash64("key", F.least(other, F.pmod(F.xxhash64("vertex"), F.col("tiles"))), F.greatest(other, F.pmod(F.xxhash64("vertex"), F.col("tiles")))),
