@@ -42,10 +42,9 @@ SEED = 42
 #: Fingerprints of one key that one task compares at once, for a pair of tiles twice as many.
 TILE = 4096
 #: Keys of a wide fingerprint and bits of each. Of pairs whose bits differ at a rate of
-#: 0.15 (similarity 0.8) a key keeps one in 49, so that 72 keys find three in four; at a
-#: rate of 0.12 (0.86) they find 19 in 20. Fewer bits find more and let keys of unlike
-#: documents meet, the more so the larger the table.
-SAMPLED, SAMPLED_BITS = 72, 24
+#: 0.15 (similarity 0.8) a key keeps one in 19, so that 48 keys find nine in ten. They are
+#: no guarantee; ``similar_links`` is complete.
+SAMPLED, SAMPLED_BITS = 48, 18
 #: Rows that are compared at once (numpy calls are dear for fewer).
 _ROWS = 1 << 14
 #: Hashes whose bits are counted at once.
@@ -319,14 +318,144 @@ def hexed(fp: str = "f0"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted hashes (uint64) of a text's different shingles, as ``fingerprint`` makes
+    them; without words none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    shingles = map(b" ".join, zip(*(words[k : k + n] for k in range(shingle)), strict=True)) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Two sets of that Jaccard similarity share at least one of so many least members
+    of each, under any order of the members that is the same for both."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def _vertex(hashes: np.ndarray) -> int:
+    """A hash (signed) of a set of hashes."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+
+
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """256 bits: bit b is set if an odd number of hashes ends in b. Each member that one
+    of two sets has alone turns one bit, so the sets differ in as many members at least
+    as their parities do in bits."""
+    odd = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+PARITY = ["p0", "p1", "p2", "p3"]
+
+
+def shingle_sets(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """rows (row, text) -> row, vertex (hash of the set), n (its size), parity, prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(t, shingle) for t in b.column(1).to_pylist()]
+            bits = np.array([_parity(h) for h in sets], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array([_vertex(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()),
+                *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)),
+                pa.array([h[: prefix_length(len(h), similarity)].view(np.int64) for h in sets], pa.list_(pa.int64())),
+            ], names=["row", "vertex", "n", *PARITY, "prefix"])
+
+    return map_batches(rows, run, "row long, vertex long, n int, p0 long, p1 long, p2 long, p3 long, prefix array<long>")
+
+
+def _whole_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """rows (text) -> vertex, hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(t, shingle) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_vertex(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["vertex", "hashes"])
+
+    return map_batches(rows, run, "vertex long, hashes array<long>")
+
+
+def similar_links(rows: DataFrame, sets: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Edges (u, v) between the vertices of ``sets`` (``shingle_sets`` of ``rows``) that
+    connect what all pairs of exact Jaccard similarity ``similarity`` or more would.
+
+    Similar sets share a member of their prefixes (``prefix_length``), so a set is filed
+    under each of its own. Pairs under a key are left out only where sizes, places of the
+    key or parities prove them less similar; the others' sets are fetched and compared.
+    To spare the pairs of a large group, each key's sets are first compared with its least
+    one, and then only sets that this leaves in different components.
+    """
+    distinct = written(sets.groupBy("vertex").agg(F.min("row").alias("row"), *[F.min(c).alias(c) for c in ("n", *PARITY, "prefix")]), "shingle-sets")
+    filed = distinct.select("vertex", F.posexplode("prefix").alias("pos", "key")).repartition("key")
+    heads = filed.groupBy("key").agg(F.min(F.struct("vertex", "pos")).alias("h"), F.count("*").alias("m")).where("m > 1")
+    heads = heads.select("key", F.col("h.vertex").alias("u"), F.col("h.pos").alias("upos"))
+    small = ["n", *PARITY]
+    own = lambda v, p: distinct.select(F.col("vertex").alias(v), *[F.col(c).alias(p + c) for c in small])
+    shared = written(filed.join(heads, "key").join(own("vertex", ""), "vertex"), "shared-shingles")
+
+    def near(a: str, b: str):
+        m, n = F.col(f"{a}n"), F.col(f"{b}n")
+        least = F.ceil((m + n) * (similarity / (1 + similarity)) - 1e-9)  # members that must be common
+        apart = sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in PARITY), F.lit(0))
+        # under the first common key, what follows it in both can be common as well
+        return (F.least(m, n) >= F.greatest(m, n) * similarity - 1e-9) & (F.least(m - F.col(f"{a}pos"), n - F.col(f"{b}pos")) >= least) & (apart <= m + n - 2 * least)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = written(pairs.distinct(), name)
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
+        asked = distinct.join(ends, "vertex", "left_semi").select("row")
+        whole = written(_whole_sets(rows.join(asked, "row", "left_semi").dropDuplicates(["row"]).select("text"), shingle), f"{name}-sets")
+        side = lambda v, h: whole.select(F.col("vertex").alias(v), F.col("hashes").alias(h))
+        both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
+        common = F.size(F.array_intersect("a", "b"))
+        return written(both.where(common >= (F.size("a") + F.size("b") - common) * similarity - 1e-9).select("u", "v"), f"{name}-similar")
+
+    first = shared.where("vertex <> u").join(own("u", "u"), "u").where(near("", "u")).select("u", F.col("vertex").alias("v"))
+    edges = verified(first, "set-pairs")
+    roots = components(edges)
+    root_of = lambda v, name: roots.select(F.col("vertex").alias(v), F.col("root").alias(name))
+    named = shared.where("vertex <> u").join(root_of("vertex", "c"), "vertex", "left").join(root_of("u", "cu"), "u", "left")
+    named = named.withColumns({"c": F.coalesce("c", "vertex"), "cu": F.coalesce("cu", "u")})
+    out = named.where("c <> cu").select("key", F.col("vertex").alias("x"), F.col("c").alias("cx"), F.col("pos").alias("xpos"), *[F.col(c).alias("x" + c) for c in small])
+    rest = named.join(out, "key").where((F.col("c") != F.col("cx")) & ((F.col("c") == F.col("cu")) | (F.col("vertex") < F.col("x"))) & near("", "x"))
+    more = rest.select(F.least("vertex", "x").alias("u"), F.greatest("vertex", "x").alias("v"))
+    return edges.unionByName(verified(more, "set-pairs-2"))
+
+
+def keep_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the row with the least id (null
+    last), of equal ids the one with the least hash; rows equal in id and text leave one.
+    Columns stay as they are.
+
+    Documents are near-duplicates if the exact Jaccard similarity of their shingles is
+    ``similarity`` or more (wordless ones are alike); a group is what such links reach.
+    """
+    keyed = docs.withColumn("__row", F.xxhash64(id_col, text_col))
+    rows = keyed.select(F.col("__row").alias("row"), F.col(text_col).alias("text"))
+    sets = written(shingle_sets(rows, shingle, similarity), "row-sets")
+    roots = components(similar_links(rows, sets, similarity, shingle))
+    classes = sets.select("row", "vertex").distinct().join(roots, "vertex", "left").select("row", F.coalesce("root", "vertex").alias("root"))
+    ids = keyed.select(F.col("__row").alias("row"), F.col(id_col).alias("id")).distinct()
+    stays = classes.join(ids, "row").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("s")).select(F.col("s.row").alias("__row"))
+    kept = keyed.join(stays, "__row", "left_semi")
+    rank = F.struct(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)], F.lit(0))
+    first = kept.groupBy("__row").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank).alias("_kept"))
+    return first.select("_kept.*")
+
+
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the row whose id is the
     group's component_id. Among rows that share that id, the one with the least text
     hash stays; identical rows leave one. Columns stay as they are.
 
     Documents are near-duplicates if their shingles' similarity is ``similarity`` or
-    more, as the distance of wide fingerprints measures it (``radius_of``).
+    more (``keep_similar``, complete), or as the distance of wide fingerprints measures
+    it (``radius_of``).
     """
+    docs = written(keep_similar(docs, similarity, shingle, id_col, text_col), "exact-near-dedup")
     found = near_duplicates(docs, radius_of(similarity, bits), shingle, bits, id_col=id_col, text_col=text_col)
     keep = found.select("component_id").distinct()
     kept = docs.join(keep, docs[id_col].eqNullSafe(keep["component_id"]), "left_semi")

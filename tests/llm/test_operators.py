@@ -107,6 +107,30 @@ def test_near_copies_leave_one(spark, docs, nothing):
     assert simhash.keep_one(docs).where("doc_id is null").count() == 1
 
 
+def _edited_pairs(rnd, pairs, n, changes):
+    """Texts (2k, t), (2k + 1, t with so many words changed), and each pair's exact Jaccard."""
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(n - 4)}
+    rows, found = [], []
+    for k in range(pairs):
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+        t = list(w)
+        for c in range(changes):
+            t[c * n // changes + 6 + rnd.randrange(n // changes - 12)] = f"n{rnd.randrange(10**6)}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(t))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        found.append(len(a & b) / len(a | b))
+    return rows, found
+
+
+def test_all_pairs_at_the_similarity_are_found(spark):
+    from palisade.llm import simhash
+
+    rows, found = _edited_pairs(random.Random(12), 60, 200, 4)
+    assert all(0.8 <= x <= 0.85 for x in found)
+    left = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == set(range(0, 120, 2))
+
+
 def test_components(spark):
     from palisade.llm.components import components
 
