@@ -1,4 +1,7 @@
-r"""SimHash near-duplicate groups by bit-sliced comparison.
+r"""SimHash near-duplicate groups by bit-sliced comparison, and groups by exact similarity.
+
+The pipeline keeps one document of each near-duplicate group by exact shingle similarity
+(``keep_one``, ``similar_links``). The rest of this module is about fingerprints.
 
 A document's fingerprint has bit b set if over half of the hashes of its word shingles
 have it: 64 bits of XXH64 (seed 42), or a multiple of 128 bits of XXH3. Fingerprints at
@@ -52,13 +55,6 @@ _COUNTED = 255 << 7
 _SHIFTS = np.arange(8, dtype=np.uint64)[:, None]
 
 
-def radius_of(similarity: float, bits: int) -> int:
-    """The distance within which fingerprints of sets of that Jaccard similarity (and like
-    sizes) mostly stay: the angle's share of the bits, and one standard deviation."""
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return int(bits * p + math.sqrt(bits * p * (1 - p)))
-
-
 def fingerprint(text: str | None, shingle: int, bits: int = 64) -> np.ndarray:
     """The words (uint64) of one text's fingerprint; without words all bits are 0."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, only \x20 \x09-\x0D
@@ -425,7 +421,7 @@ def similar_links(rows: DataFrame, sets: DataFrame, similarity: float, shingle:
     return edges.unionByName(verified(more, "set-pairs-2"))
 
 
-def keep_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the row with the least id (null
     last), of equal ids the one with the least hash; rows equal in id and text leave one.
     Columns stay as they are.
@@ -444,21 +440,3 @@ def keep_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_
     rank = F.struct(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)], F.lit(0))
     first = kept.groupBy("__row").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank).alias("_kept"))
     return first.select("_kept.*")
-
-
-def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bits: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the row whose id is the
-    group's component_id. Among rows that share that id, the one with the least text
-    hash stays; identical rows leave one. Columns stay as they are.
-
-    Documents are near-duplicates if their shingles' similarity is ``similarity`` or
-    more (``keep_similar``, complete), or as the distance of wide fingerprints measures
-    it (``radius_of``).
-    """
-    docs = written(keep_similar(docs, similarity, shingle, id_col, text_col), "exact-near-dedup")
-    found = near_duplicates(docs, radius_of(similarity, bits), shingle, bits, id_col=id_col, text_col=text_col)
-    keep = found.select("component_id").distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["component_id"]), "left_semi")
-    rank = F.struct(F.xxhash64(text_col), *[F.col(f"`{c}`").cast("string") for c, _ in docs.dtypes if c != id_col])
-    first = kept.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in kept.columns]), rank).alias("_row"))
-    return first.select("_row.*")

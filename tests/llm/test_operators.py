@@ -131,6 +131,14 @@ def test_all_pairs_at_the_similarity_are_found(spark):
     assert left == set(range(0, 120, 2))
 
 
+def test_pairs_below_the_similarity_stay(spark):
+    from palisade.llm import simhash
+
+    rows, found = _edited_pairs(random.Random(13), 60, 200, 5)
+    assert all(0.75 <= x < 0.8 for x in found)
+    assert simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 120
+
+
 def test_components(spark):
     from palisade.llm.components import components
 
