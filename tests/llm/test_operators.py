@@ -139,6 +139,17 @@ def test_pairs_below_the_similarity_stay(spark):
     assert simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 120
 
 
+def test_unlike_texts_that_share_an_id_stay(spark):
+    from palisade.llm import simhash
+
+    rnd = random.Random(14)
+    prose = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    rows = [(1, prose()), (1, prose()), (None, prose()), (None, prose())]
+    more = [(2, rows[0][1]), rows[1], (None, rows[2][1])]
+    left = simhash.keep_one(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()
+    assert sorted(map(str, left)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in rows)
+
+
 def test_components(spark):
     from palisade.llm.components import components
 
