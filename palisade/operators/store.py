@@ -37,19 +37,25 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
 
 
+def latest(routes: DataFrame) -> DataFrame:
+    """Of routes that share site and words only the latest: each site's rows shrink to
+    its different goals, so that joins by site do not grow with the square of a site."""
+    words = routes.select("origin", "route", "saved_at", goal_words(F.col("goal")).alias("w"))
+    return words.groupBy("origin", "w").agg(F.max(F.struct("saved_at", "route")).alias("l")).select("origin", F.col("w").alias("rw"), "l.saved_at", "l.route")
+
+
 def recalled(asked: DataFrame, routes: DataFrame) -> DataFrame:
     """asked (k, origin, goal) with the route (route, origin, goal, saved_at) of the same
     site that shares most words, half at least; of equals the latest."""
-    r = routes.select("origin", "route", "saved_at", goal_words(F.col("goal")).alias("rw"))
-    both = asked.select("k", "origin", goal_words(F.col("goal")).alias("w")).join(r, "origin").withColumn("share", overlap(F.col("w"), F.col("rw")))
+    both = asked.select("k", "origin", goal_words(F.col("goal")).alias("w")).join(latest(routes), "origin").withColumn("share", overlap(F.col("w"), F.col("rw")))
     return both.where(F.col("share") >= LEAST_OVERLAP).groupBy("k").agg(F.max_by(F.struct("route", "share"), F.struct("share", "saved_at", "route")).alias("b")).select("k", "b.route", "b.share")
 
 
 def remembered(routes: DataFrame) -> DataFrame:
     """Routes without earlier ones of the same site with a similar goal; the latest
     MOST_ROUTES, of MOST_STEPS steps at most."""
-    a, b = routes.withColumn("w", goal_words(F.col("goal"))).alias("a"), routes.withColumn("w", goal_words(F.col("goal"))).alias("b")
-    later = (F.col("a.origin") == F.col("b.origin")) & (F.col("b.saved_at") > F.col("a.saved_at")) & (overlap(F.col("a.w"), F.col("b.w")) >= LEAST_OVERLAP)
+    a, b = routes.withColumn("w", goal_words(F.col("goal"))).alias("a"), latest(routes).alias("b")
+    later = (F.col("a.origin") == F.col("b.origin")) & (F.col("b.saved_at") > F.col("a.saved_at")) & (overlap(F.col("a.w"), F.col("b.rw")) >= LEAST_OVERLAP)
     left = a.join(b, later, "left_anti")
     nth = F.row_number().over(Window.orderBy(F.desc("saved_at"), "route"))
     return left.orderBy(F.desc("saved_at"), "route").limit(MOST_ROUTES).select("route", "origin", "saved_at", F.least(F.col("steps"), F.lit(MOST_STEPS)).alias("steps")).withColumn("place", nth)

@@ -112,3 +112,30 @@ def test_entry_and_names(spark):
     queries, oracle = e.queries(), e.oracle_sql()
     assert set(oracle) <= set(queries) and len(queries) > 40
     assert not [n for n in oracle if not re.match(r"\w+$", n)]
+
+
+def test_routes_of_all_orders(spark, tmp_path):
+    from datetime import datetime
+
+    from palisade.operators import store
+    from palisade.queries import QUERIES
+
+    rows = [(k, k % 9, datetime(2024, 1, 1 + k % 28)) for k in [*range(1, 60), *range(3990, 4100)]]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k,) for k in range(20)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    from palisade.queries import store as queries
+
+    words = lambda g: {w for w in re.findall("[a-z0-9]+", g.lower()) if len(w) > 2}
+    share = lambda a, b: len(words(a) & words(b)) / min(len(words(a)), len(words(b)))
+    routes = [r.asDict() for r in queries.routes(spark, str(tmp_path)).collect()]
+    assert len(routes) == len(rows)
+    best = {}
+    for k in range(20):
+        own = [(share("please " + queries._GOALS[k % 5], r["goal"]), r["saved_at"], r["route"]) for r in routes if r["origin"] == f"https://s{k % 60}.example"]
+        if own and max(own)[0] >= store.LEAST_OVERLAP:
+            best[k] = max(own)[2]
+    assert {r.k: r.route for r in QUERIES["recalled_routes"](spark, str(tmp_path)).collect()} == best and max(best.values()) > 4000
+    left = [r for r in routes if not any(o["origin"] == r["origin"] and o["saved_at"] > r["saved_at"] and share(o["goal"], r["goal"]) >= store.LEAST_OVERLAP for o in routes)]
+    left.sort(key=lambda r: (-r["saved_at"], r["route"]))
+    got = [(r.place, r.route, r.steps) for r in QUERIES["remembered_routes"](spark, str(tmp_path)).orderBy("place").collect()]
+    assert got == [(n + 1, r["route"], min(r["steps"], 24)) for n, r in enumerate(left[:40])]
