@@ -34,7 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand in an earlier place; a document that loses its
     last word by that goes, as all it said is said elsewhere."""
-    found = lines.deduplicated(docs)
+    found = lines.deduplicated(docs, least_words=1)
     return _with_length(found.where((F.col("__n_dropped") == 0) | F.col("text").rlike(r"[^ \t-\r]")), docs.columns)
 
 

@@ -34,7 +34,7 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=1)
     return found.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"))
 
 

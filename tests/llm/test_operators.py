@@ -243,6 +243,18 @@ def test_lines_keep_one_of_each_group(spark, docs, nothing):
     assert kept.count() == docs.count() and lines.deduplicated(nothing).count() == 0
 
 
+def test_short_lines_repeat_once(spark, tmp_path):
+    import corpus_pipeline
+    from palisade.llm.queries import op4_line_dedup
+
+    rows = [(1, "ok\nown words of one\n12"), (2, "OK!\n12\n日本語テキスト"), (3, "see also\n日本語テキスト\n---\n\nok"), (4, "more of it\nsee  also 3\n---")]
+    want = {1: rows[0][1], 2: "12\n日本語テキスト", 3: "see also\n---\n", 4: "more of it\n---"}
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in op4_line_dedup(spark, str(tmp_path)).collect()} == want
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == want
+
+
 def test_line_signatures(spark):
     import xxhash
 
