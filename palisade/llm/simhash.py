@@ -384,13 +384,16 @@ def similar_links(rows: DataFrame, sets: DataFrame, similarity: float, shingle:
     To spare the pairs of a large group, each key's sets are first compared with its least
     one, and then only sets that this leaves in different components.
     """
-    distinct = written(sets.groupBy("vertex").agg(F.min("row").alias("row"), *[F.min(c).alias(c) for c in ("n", *PARITY, "prefix")]), "shingle-sets")
-    filed = distinct.select("vertex", F.posexplode("prefix").alias("pos", "key")).repartition("key")
-    heads = filed.groupBy("key").agg(F.min(F.struct("vertex", "pos")).alias("h"), F.count("*").alias("m")).where("m > 1")
-    heads = heads.select("key", F.col("h.vertex").alias("u"), F.col("h.pos").alias("upos"))
     small = ["n", *PARITY]
+    distinct = written(sets.groupBy("vertex").agg(F.min("row").alias("row"), *[F.min(c).alias(c) for c in small]), "shingle-sets")
+    # one exchange of (vertex, pos, key) serves the least vertices and the join with them; copies become one row after it
+    filed = sets.select("vertex", F.posexplode("prefix").alias("pos", "key")).repartition("key")
+    heads = filed.groupBy("key").agg(F.min("vertex").alias("u"), F.max("vertex").alias("other"), F.max("pos").alias("last"))
+    # pos is asked for here, too: an exchange with other columns would be a second one
+    heads = heads.where("u <> other and last >= 0").select("key", "u")
     own = lambda v, p: distinct.select(F.col("vertex").alias(v), *[F.col(c).alias(p + c) for c in small])
-    shared = written(filed.join(heads, "key").join(own("vertex", ""), "vertex"), "shared-shingles")
+    shared = written(filed.join(heads, "key").distinct().join(own("vertex", ""), "vertex"), "shared-shingles")
+    upos = shared.where("vertex = u").select("key", F.col("pos").alias("upos"))
 
     def near(a: str, b: str):
         m, n = F.col(f"{a}n"), F.col(f"{b}n")
@@ -401,6 +404,8 @@ def similar_links(rows: DataFrame, sets: DataFrame, similarity: float, shingle:
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = written(pairs.distinct(), name)
+        if pairs.isEmpty():  # no text is shuffled for nothing
+            return pairs
         ends = pairs.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
         asked = distinct.join(ends, "vertex", "left_semi").select("row")
         whole = written(_whole_sets(rows.join(asked, "row", "left_semi").dropDuplicates(["row"]).select("text"), shingle), f"{name}-sets")
@@ -409,7 +414,7 @@ def similar_links(rows: DataFrame, sets: DataFrame, similarity: float, shingle:
         common = F.size(F.array_intersect("a", "b"))
         return written(both.where(common >= (F.size("a") + F.size("b") - common) * similarity - 1e-9).select("u", "v"), f"{name}-similar")
 
-    first = shared.where("vertex <> u").join(own("u", "u"), "u").where(near("", "u")).select("u", F.col("vertex").alias("v"))
+    first = shared.where("vertex <> u").join(upos, "key").join(own("u", "u"), "u").where(near("", "u")).select("u", F.col("vertex").alias("v"))
     edges = verified(first, "set-pairs")
     roots = components(edges)
     root_of = lambda v, name: roots.select(F.col("vertex").alias(v), F.col("root").alias(name))
