@@ -49,14 +49,55 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as compressed Parquet to the shared folder and reread."""
+#: Spark's setting by which a write deletes its shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """Writes and rereads. The write's shuffle files go when it ends, as its rows are safe then;
+    they would stay until the driver's next collection of garbage otherwise."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written as compressed Parquet to the shared folder and reread."""
+    return _write(df, fresh_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Tables in the shared folder that an operator needs for a while."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def written(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        """As ``written``; unless it is to be kept, ``clear`` deletes it."""
+        path = fresh_path(self.spark, name)
+        out = _write(df, path)
+        if not keep:
+            self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a table that nothing will read again."""
+        path = self.paths.pop(id(df))[1]
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+    def clear(self) -> None:
+        """Deletes all: what was made of them has been written."""
+        for df, _ in list(self.paths.values()):
+            self.drop(df)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, whatever the optimizer inlines."""
     return F.transform(F.array(value), body)[0]

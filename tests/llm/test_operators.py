@@ -229,45 +229,6 @@ def test_records_shuffled_reads(spark, docs):
     assert [(d, x.tolist()) for d, x in records.read_at(store, m["file"], index[order])] == [whole[k] for k in order]
 
 
-# ---- 4: lines ------------------------------------------------------------------------------------------
-def test_lines_keep_one_of_each_group(spark, docs, nothing):
-    from palisade.llm import lines
-
-    line = "all visitors must sign the book at the northern gate before they enter"
-    near = line.replace("northern", "southern")
-    rows = [(1, f"{line} 12.\nfirst of its kind here today"), (2, f"own words stand in this line alone\n{near}"), (3, f"ok\n{line.upper()}!\nok\n\n{line}"), (4, None), (5, "")]
-    got = {r.doc_id: r for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].text == rows[0][1] and got[3].text == "ok\nok\n" and got[3]["__n_dropped"] == 2
-    assert got[4].text is None and got[5].text == "" and got[2].text.startswith("own words")
-    kept = lines.deduplicated(docs)
-    assert kept.count() == docs.count() and lines.deduplicated(nothing).count() == 0
-
-
-def test_short_lines_repeat_once(spark, tmp_path):
-    import corpus_pipeline
-    from palisade.llm.queries import op4_line_dedup
-
-    rows = [(1, "ok\nown words of one\n12"), (2, "OK!\n12\n日本語テキスト"), (3, "see also\n日本語テキスト\n---\n\nok"), (4, "more of it\nsee  also 3\n---")]
-    want = {1: rows[0][1], 2: "12\n日本語テキスト", 3: "see also\n---\n", 4: "more of it\n---"}
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id: r.text for r in op4_line_dedup(spark, str(tmp_path)).collect()} == want
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == want
-
-
-def test_line_signatures(spark):
-    import xxhash
-
-    from palisade.llm import lines
-
-    rnd = random.Random(4)
-    rows = [(k, 0, [f"w{rnd.randrange(50 * n)}" for _ in range(n)]) for k, n in enumerate((1, 2, 3, 127, 128, 300, 40_000))]
-    got = {r.row: r.sig for r in lines.with_signature(spark.createDataFrame(rows, "row long, line int, words array<string>")).collect()}
-    for k, _, w in rows:
-        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in set(w)]
-        assert got[k] & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 # ---- 5: mixing ----------------------------------------------------------------------------------------------
 def _targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
