@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -45,19 +45,20 @@ def components(edges: DataFrame) -> DataFrame:
     but the roots themselves; root is the least vertex that it can reach.
 
     Loops and repeated edges count once; edges with a null end are left out; no
-    edges give no rows. Each round is checkpointed, so its lineage is short and it
-    survives lost executors.
+    edges give no rows. Each round is written to the shared folder, so its lineage is
+    short and it survives lost executors; the round before it is deleted.
     """
-    now = cut(
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.written(
         edges.where("u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
+        .distinct(), "edges"
     )
     seen = _signature(now)
     while seen[0]:
-        now = cut(_small_star(_large_star(now)))
-        after = _signature(now)
-        if after == seen:
+        after = scratch.written(_small_star(_large_star(now)), "edges")
+        scratch.drop(now)
+        now, before, seen = after, seen, _signature(after)
+        if before == seen:
             break
-        seen = after
     return now.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
