@@ -5,6 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,3 +122,14 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str)
     """mapInArrow with small batches."""
     small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of texts of so many bytes together, or a single longer text."""
+    for b in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0)).cumsum()
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, end - at)
+            at = end

@@ -28,18 +28,19 @@ How links are found without comparing all pairs:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, written
+from .common import Scratch, map_batches, pieces, written
 from .components import components
+from .hashing import bit_counts, hashes, majorities, mixed, once
 
 SEED = 42
 #: Fingerprints of one key that one task compares at once, for a pair of tiles twice as many.
@@ -52,7 +53,11 @@ SAMPLED, SAMPLED_BITS = 48, 18
 _ROWS = 1 << 14
 #: Hashes whose bits are counted at once.
 _COUNTED = 255 << 7
-_SHIFTS = np.arange(8, dtype=np.uint64)[:, None]
+#: Words of the fingerprints in front of exact similarity, and their radius: sets at a similarity of
+#: 0.8 differ in 39 of 256 bits (standard deviation 6), unlike ones in 128.
+_WIDE, RADIUS = 4, 68
+#: Sets that a task remembers so as to file equal ones once.
+_SEEN = 1 << 19
 
 
 def fingerprint(text: str | None, shingle: int, bits: int = 64) -> np.ndarray:
@@ -79,16 +84,6 @@ def fingerprint(text: str | None, shingle: int, bits: int = 64) -> np.ndarray:
     return np.packbits(2 * total > n, bitorder="little").view("<u8")
 
 
-def bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of the uint64 hashes have each of the 64 bits set. Eight bits of a
-    hash are summed at once in the bytes of a word, 255 hashes before they could overflow."""
-    whole = np.zeros(-(-len(hashes) // 255) * 255, np.uint64)
-    whole[: len(hashes)] = hashes
-    lanes = (whole[None, :] >> _SHIFTS) & np.uint64(0x0101010101010101)
-    sums = lanes.reshape(8, -1, 255).sum(axis=2).astype("<u8")
-    return sums.view(np.uint8).reshape(8, -1, 8).sum(axis=1, dtype=np.int64).T.reshape(64)
-
-
 def fingerprints(docs: DataFrame, shingle: int = 5, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, f0, f1 ...): the fingerprint of every whole text as signed longs. A null
     or wordless text has 0; fewer words than a shingle count as one shingle."""
@@ -314,134 +309,249 @@ def hexed(fp: str = "f0"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
-    """The sorted hashes (uint64) of a text's different shingles, as ``fingerprint`` makes
-    them; without words none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = max(1, len(words) - shingle + 1)
-    shingles = map(b" ".join, zip(*(words[k : k + n] for k in range(shingle)), strict=True)) if len(words) >= shingle else [b" ".join(words)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
-
-
-def prefix_length(n: int, similarity: float) -> int:
+def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
     """Two sets of that Jaccard similarity share at least one of so many least members
     of each, under any order of the members that is the same for both."""
-    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-
-
-def _vertex(hashes: np.ndarray) -> int:
-    """A hash (signed) of a set of hashes."""
-    return xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
-
-
-def _parity(hashes: np.ndarray) -> np.ndarray:
-    """256 bits: bit b is set if an odd number of hashes ends in b. Each member that one
-    of two sets has alone turns one bit, so the sets differ in as many members at least
-    as their parities do in bits."""
-    odd = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-
-
-PARITY = ["p0", "p1", "p2", "p3"]
+    return np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+
+
+class ShingleSets:
+    """The different shingles of each text of a batch as sorted hashes: ``hashes``, ``text`` (of
+    each hash), ``n`` (hashes of each text), ``start``. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in
+    lower case; texts with fewer words than a shingle have one shingle, wordless ones none."""
+
+    def __init__(self, texts: pa.Array, shingle: int):
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words = pc.list_flatten(parts)
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+        text = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(parts)))
+        there = offsets[1:] > offsets[:-1]
+        text, word = text[there], hashes(data, offsets[:-1], offsets[1:])[there]
+        n = np.bincount(text, minlength=len(texts))
+        total = np.zeros(len(word), np.uint64)
+        for k in range(min(shingle, len(word))):  # of a short text all words count
+            part = word[k:]
+            total[: len(part)] += np.where(text[k:] == text[: len(part)], mixed(part + np.uint64(k)) * np.uint64(2 * k + 1), np.uint64(0))
+        place = np.arange(len(word)) - (np.cumsum(n) - n)[text]
+        some = place < np.maximum(1, n - shingle + 1)[text]
+        text, total = text[some], mixed(total[some])
+        order = np.lexsort((total, text))
+        text, total = text[order], total[order]
+        new = np.ones(len(total), bool)
+        new[1:] = (text[1:] != text[:-1]) | (total[1:] != total[:-1])
+        self.text, self.hashes = text[new], total[new]
+        self.n = np.bincount(self.text, minlength=len(texts)).astype(np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.n)])
+
+    def vertices(self) -> np.ndarray:
+        """A hash (int64) of each set."""
+        data, at, digest = memoryview(self.hashes.tobytes()), (8 * self.start).tolist(), xxhash.xxh3_64_intdigest
+        return np.array([digest(data[a:b], SEED) - (1 << 63) for a, b in zip(at, at[1:], strict=False)], np.int64)
+
+    def fingerprints(self, words: int) -> np.ndarray:
+        """(texts, words) int64: each set's SimHash."""
+        out = np.zeros((len(self.n), words), np.int64)
+        some = np.flatnonzero(self.n)
+        for k in range(words if len(some) else 0):
+            out[some, k] = majorities(mixed(self.hashes + np.uint64(k)), self.start[some], self.n[some])
+        return out
+
+    def members(self, count: np.ndarray, only: np.ndarray) -> pa.ListArray:
+        """The first ``count`` hashes of each text, of those that ``only`` names."""
+        count = np.where(only, count, 0)
+        place = np.arange(len(self.hashes)) - self.start[self.text]
+        ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(self.hashes[place < count[self.text]].view(np.int64)))
 
 
 def shingle_sets(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """rows (row, text) -> row, vertex (hash of the set), n (its size), parity, prefix."""
+    """rows (row, text) -> row, vertex (hash of the set), n (its size), a fingerprint, and once a task
+    for equal sets the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_hashes(t, shingle) for t in b.column(1).to_pylist()]
-            bits = np.array([_parity(h) for h in sets], np.int64).reshape(-1, 4)
+        seen: set[int] = set()
+        for b in pieces(batches):
+            sets = ShingleSets(b.column(1), shingle)
+            vertex, prints, new = sets.vertices(), sets.fingerprints(_WIDE), np.zeros(b.num_rows, bool)
+            for k, v in enumerate(vertex.tolist()):
+                if v not in seen:
+                    seen.add(v)
+                    new[k] = True
+            if len(seen) > _SEEN:
+                seen.clear()
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([_vertex(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()),
-                *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)),
-                pa.array([h[: prefix_length(len(h), similarity)].view(np.int64) for h in sets], pa.list_(pa.int64())),
-            ], names=["row", "vertex", "n", *PARITY, "prefix"])
+                b.column(0), pa.array(vertex), pa.array(sets.n.astype(np.int32)), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(_WIDE)),
+                sets.members(prefix_length(sets.n, similarity), new),
+            ], names=["row", "vertex", "n", *names(_WIDE), "prefix"])
 
-    return map_batches(rows, run, "row long, vertex long, n int, p0 long, p1 long, p2 long, p3 long, prefix array<long>")
+    return map_batches(rows, run, "row long, vertex long, n int, " + ", ".join(f"{c} long" for c in names(_WIDE)) + ", prefix array<long>")
 
 
 def _whole_sets(rows: DataFrame, shingle: int) -> DataFrame:
     """rows (text) -> vertex, hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_hashes(t, shingle) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_vertex(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["vertex", "hashes"])
+        for b in pieces(batches):
+            sets = ShingleSets(b.column(0), shingle)
+            yield pa.RecordBatch.from_arrays([pa.array(sets.vertices()), sets.members(sets.n, sets.n >= 0)], names=["vertex", "hashes"])
 
     return map_batches(rows, run, "vertex long, hashes array<long>")
 
 
-def similar_links(rows: DataFrame, sets: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Edges (u, v) between the vertices of ``sets`` (``shingle_sets`` of ``rows``) that
-    connect what all pairs of exact Jaccard similarity ``similarity`` or more would.
+def _in_runs(judged, most: int):
+    """Over rows sorted by key and vertex: judged(columns) of whole keys, without rows that repeat
+    the (key, vertex) before them. A key of over ``most`` rows is judged in parts, and each
+    part again with the key's first row in front, which links the parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        n, head = 0, None
+        for b in batches:
+            if b.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+                n += b.num_rows
+            if n < _ROWS:
+                continue
+            cols = once([np.concatenate(c) for c in zip(*held, strict=True)])
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
+            if len(cols[0]) - last > most:
+                last = len(cols[0])
+            if head is not None and head[0][0] == cols[0][0] and cols[1][0] != head[1][0]:
+                cols, last = [np.concatenate(c) for c in zip(head, cols, strict=True)], last + 1
+            if last:
+                yield from judged([c[:last] for c in cols])
+                first = int(np.searchsorted(cols[0], cols[0][last - 1]))
+                head = [c[first : first + 1] for c in cols]
+            held = [[c[last:] for c in cols]]
+            n = len(held[0][0])
+        if n:
+            cols = once([np.concatenate(c) for c in zip(*held, strict=True)])
+            if head is not None and head[0][0] == cols[0][0] and cols[1][0] != head[1][0]:
+                cols = [np.concatenate(c) for c in zip(head, cols, strict=True)]
+            yield from judged(cols)
+
+    return run
+
+
+def _shared_runs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, vertex) of keys with two vertices or more. The new key is a hash of the key's
+    vertices: keys with the same ones would be compared in the same way, and become one."""
+    key, vertex = cols
+    starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    length = np.diff(np.concatenate([starts, [len(key)]]))
+    sums = np.add.reduceat(mixed(vertex.view(np.uint64)), starts)
+    many = np.repeat(length > 1, length)
+    if many.any():
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mixed(sums), length)[many].view(np.int64)), pa.array(vertex[many])], names=["key", "vertex"])
+
+
+def _near_runs(radius: int, similarity: float):
+    """Rows (key, vertex, n, words): those near their key's central row u (``near``), or near another
+    row but u (``more``), by bit-sliced comparison of all rows of the key."""
+
+    def judged(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, vertex, n = cols[:3]
+        fps = np.stack(cols[3:], axis=1).view(np.uint64)
+        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        length = np.diff(np.concatenate([starts, [len(key)]]))
+        start, end = np.repeat(starts, length), np.repeat(starts + length, length)
+        # the row nearest to the bits that most of the key's rows have
+        off = np.arange(len(key))
+        run = np.repeat(np.arange(len(starts)), length)
+        for k in range(fps.shape[1]):
+            off = off + (np.bitwise_count(fps[:, k] ^ majorities(fps[:, k].copy(), starts, length).view(np.uint64)[run]).astype(np.int64) << 32)
+        centre = (np.minimum.reduceat(off, starts) & 0xFFFFFFFF)[run]
+        like = lambda a, b: np.minimum(n[a], n[b]) >= np.maximum(n[a], n[b]) * similarity - 1e-9
+        row = np.arange(len(key))
+        apart = sum(np.bitwise_count(fps[:, k] ^ fps[centre, k]).astype(np.int64) for k in range(fps.shape[1]))
+        near = (row != centre) & (apart <= radius) & like(row, centre)
+        hits = np.zeros(-(-len(key) // 64), np.uint64)  # by word of 64 rows: near another row but the centre
+        one = np.uint64(1)
+        for rows, words, masks in within_run(fps, start, end, radius):
+            c = centre[rows]
+            masks = np.where(c // 64 == words, masks & ~(one << (c % 64).astype(np.uint64)), masks)
+            some = (rows != c) & (masks != 0)
+            np.bitwise_or.at(hits, words[some], masks[some])
+            np.bitwise_or.at(hits, rows[some] // 64, one << (rows[some] % 64).astype(np.uint64))
+        more = np.unpackbits(hits.astype("<u8").view(np.uint8), bitorder="little")[: len(key)].astype(bool)
+        out = near | more
+        if out.any():
+            columns = [key, vertex, n, *cols[3:], vertex[centre], near, more]
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], names=["key", "v", "n", *names(fps.shape[1]), "u", "near", "more"])
+
+    return judged
+
+
+def similar_components(rows: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, shingle: int, radius: int) -> DataFrame:
+    """Rows (vertex, root) of the components that all pairs of exact Jaccard similarity
+    ``similarity`` or more make of the vertices of ``sets`` (``shingle_sets`` of ``rows``).
 
     Similar sets share a member of their prefixes (``prefix_length``), so a set is filed
-    under each of its own. Pairs under a key are left out only where sizes, places of the
-    key or parities prove them less similar; the others' sets are fetched and compared.
-    To spare the pairs of a large group, each key's sets are first compared with its least
-    one, and then only sets that this leaves in different components.
+    under each of its own. Under a key, sets are compared by their fingerprints, bit-sliced;
+    those within the radius are verified by their whole sets. To spare the pairs of a large
+    group, a key's sets are first verified against its central one, and then only sets that
+    this leaves in different components against the rest of their key.
     """
-    small = ["n", *PARITY]
-    distinct = written(sets.groupBy("vertex").agg(F.min("row").alias("row"), *[F.min(c).alias(c) for c in small]), "shingle-sets")
-    # one exchange of (vertex, pos, key) serves the least vertices and the join with them; copies become one row after it
-    filed = sets.select("vertex", F.posexplode("prefix").alias("pos", "key")).repartition("key")
-    heads = filed.groupBy("key").agg(F.min("vertex").alias("u"), F.max("vertex").alias("other"), F.max("pos").alias("last"))
-    # pos is asked for here, too: an exchange with other columns would be a second one
-    heads = heads.where("u <> other and last >= 0").select("key", "u")
-    own = lambda v, p: distinct.select(F.col("vertex").alias(v), *[F.col(c).alias(p + c) for c in small])
-    shared = written(filed.join(heads, "key").distinct().join(own("vertex", ""), "vertex"), "shared-shingles")
-    upos = shared.where("vertex = u").select("key", F.col("pos").alias("upos"))
-
-    def near(a: str, b: str):
-        m, n = F.col(f"{a}n"), F.col(f"{b}n")
-        least = F.ceil((m + n) * (similarity / (1 + similarity)) - 1e-9)  # members that must be common
-        apart = sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in PARITY), F.lit(0))
-        # under the first common key, what follows it in both can be common as well
-        return (F.least(m, n) >= F.greatest(m, n) * similarity - 1e-9) & (F.least(m - F.col(f"{a}pos"), n - F.col(f"{b}pos")) >= least) & (apart <= m + n - 2 * least)
+    own = names(_WIDE)
+    filed = sets.select(F.explode("prefix").alias("key"), "vertex")
+    by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "vertex")
+    runs = scratch.written(map_batches(by_key(filed), _in_runs(_shared_runs, _ROWS), "key long, vertex long"), "shared-shingles")
+    runs = scratch.written(by_key(runs).mapInArrow(_in_runs(lambda cols: iter([pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "vertex"])]), _ROWS), "key long, vertex long"), "shared-once")
+    prints = sets.where(F.size("prefix") > 0).select("vertex", "n", *own).dropDuplicates(["vertex"])
+    held = by_key(runs.join(prints, "vertex").select("key", "vertex", "n", *own))
+    marked = held.mapInArrow(_in_runs(_near_runs(radius, similarity), TILE), "key long, v long, n int, " + ", ".join(f"{c} long" for c in own) + ", u long, near boolean, more boolean")
+    marked = scratch.written(marked, "near-sets")
+    if marked.isEmpty():  # no text is shuffled for nothing
+        return components(marked.select("u", "v"))
+    ends = marked.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
+    asked = sets.join(ends, "vertex", "left_semi").groupBy("vertex").agg(F.min("row").alias("row")).select("row")
+    whole = scratch.written(_whole_sets(rows.join(asked, "row", "left_semi").dropDuplicates(["row"]).select("text"), shingle), "whole-sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = written(pairs.distinct(), name)
-        if pairs.isEmpty():  # no text is shuffled for nothing
-            return pairs
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
-        asked = distinct.join(ends, "vertex", "left_semi").select("row")
-        whole = written(_whole_sets(rows.join(asked, "row", "left_semi").dropDuplicates(["row"]).select("text"), shingle), f"{name}-sets")
+        pairs = scratch.written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), name)
         side = lambda v, h: whole.select(F.col("vertex").alias(v), F.col("hashes").alias(h))
         both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
         common = F.size(F.array_intersect("a", "b"))
-        return written(both.where(common >= (F.size("a") + F.size("b") - common) * similarity - 1e-9).select("u", "v"), f"{name}-similar")
+        return scratch.written(both.where(common >= (F.size("a") + F.size("b") - common) * similarity - 1e-9).select("u", "v"), f"{name}-similar")
 
-    first = shared.where("vertex <> u").join(upos, "key").join(own("u", "u"), "u").where(near("", "u")).select("u", F.col("vertex").alias("v"))
-    edges = verified(first, "set-pairs")
+    edges = verified(marked.where("near"), "set-pairs")
     roots = components(edges)
     root_of = lambda v, name: roots.select(F.col("vertex").alias(v), F.col("root").alias(name))
-    named = shared.where("vertex <> u").join(root_of("vertex", "c"), "vertex", "left").join(root_of("u", "cu"), "u", "left")
-    named = named.withColumns({"c": F.coalesce("c", "vertex"), "cu": F.coalesce("cu", "u")})
-    out = named.where("c <> cu").select("key", F.col("vertex").alias("x"), F.col("c").alias("cx"), F.col("pos").alias("xpos"), *[F.col(c).alias("x" + c) for c in small])
-    rest = named.join(out, "key").where((F.col("c") != F.col("cx")) & ((F.col("c") == F.col("cu")) | (F.col("vertex") < F.col("x"))) & near("", "x"))
-    more = rest.select(F.least("vertex", "x").alias("u"), F.greatest("vertex", "x").alias("v"))
-    return edges.unionByName(verified(more, "set-pairs-2"))
+    named = marked.where("more").join(root_of("v", "c"), "v", "left").join(root_of("u", "cu"), "u", "left")
+    named = scratch.written(named.select("key", "v", "n", *own, F.coalesce("c", "v").alias("c"), F.coalesce("cu", "u").alias("cu")), "set-classes")
+    out = named.where("c <> cu").select("key", F.col("v").alias("x"), F.col("c").alias("cx"), *[F.col(c).alias("x" + c) for c in ("n", *own)])
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("x" + c))) for c in own), F.lit(0))
+    near = (apart <= radius) & (F.least("n", "xn") >= F.greatest("n", "xn") * similarity - 1e-9)
+    rest = named.join(out, "key").where((F.col("c") != F.col("cx")) & ((F.col("c") == F.col("cu")) | (F.col("v") < F.col("x"))) & near)
+    more = verified(rest.select(F.col("v").alias("u"), F.col("x").alias("v")), "set-pairs-2")
+    return roots if more.isEmpty() else components(edges.unionByName(more))
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the row with the least id (null
-    last), of equal ids the one with the least hash; rows equal in id and text leave one.
-    Columns stay as they are.
+    last), of equal ids the one with the least hash; rows equal in id and text leave one, the
+    least in their other columns. Columns stay as they are.
 
     Documents are near-duplicates if the exact Jaccard similarity of their shingles is
-    ``similarity`` or more (wordless ones are alike); a group is what such links reach.
+    ``similarity`` or more (wordless ones are alike); a group is what such links reach. An
+    empty table gives no rows. Texts are not shuffled, but for those that share a shingle
+    with a like fingerprint.
     """
-    keyed = docs.withColumn("__row", F.xxhash64(id_col, text_col))
-    rows = keyed.select(F.col("__row").alias("row"), F.col(text_col).alias("text"))
-    sets = written(shingle_sets(rows, shingle, similarity), "row-sets")
-    roots = components(similar_links(rows, sets, similarity, shingle))
+    scratch = Scratch(docs.sparkSession)
+    row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    rows = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"))
+    sets = scratch.written(shingle_sets(rows, shingle, similarity), "row-sets")
+    roots = similar_components(rows, sets, scratch, similarity, shingle, radius)
     classes = sets.select("row", "vertex").distinct().join(roots, "vertex", "left").select("row", F.coalesce("root", "vertex").alias("root"))
-    ids = keyed.select(F.col("__row").alias("row"), F.col(id_col).alias("id")).distinct()
-    stays = classes.join(ids, "row").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("s")).select(F.col("s.row").alias("__row"))
-    kept = keyed.join(stays, "__row", "left_semi")
-    rank = F.struct(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)], F.lit(0))
-    first = kept.groupBy("__row").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank).alias("_kept"))
-    return first.select("_kept.*")
+    others = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]
+    # of rows equal in id and text one stays, by a hash of the rest: a narrow table decides
+    narrow = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.lit(0), *others).alias("rest")).distinct()
+    first = narrow.groupBy("row").agg(F.min(F.struct("id", "rest")).alias("f")).select("row", "f.id", "f.rest")
+    stays = classes.join(first, "row").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row", "rest")).alias("s")).select("s.row", "s.rest")
+    stays = scratch.written(stays, "stays", keep=True)
+    scratch.clear()
+    keyed = docs.select(F.struct("*").alias("doc"), row.alias("row"), F.xxhash64(F.lit(0), *others).alias("rest"))
+    kept = keyed.join(stays, ["row", "rest"], "left_semi")
+    # rows equal in all columns are many copies of one; the join has brought them together
+    return kept.dropDuplicates(["row", "rest"]).select("doc.*")
