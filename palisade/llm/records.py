@@ -12,7 +12,7 @@ A payload is one document: width of an id (uint8: 2 or 4), whether doc_id is the
 0xA282EAD8, so that a checksum of data that holds checksums stays sound.
 
 The index beside it (``.idx``) is the magic, a count, and for each frame its offset
-(uint64), payload bytes (uint64), ids (uint64), so that frames can be read in any
+(uint64), payload bytes (uint64), ids (uint64) and the ids before it (uint64), so that frames can be read in any
 order without a scan of the data file.
 
 Writing: documents are dealt out by range of doc_id, each task streams one data file
@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 from .common import fresh_path, map_batches, written
 from .worker_cache import WorkerCache
 
-MAGIC = b"PLSIDX01"
-INDEX = np.dtype([("offset", "<u8"), ("bytes", "<u8"), ("ids", "<u8")])
+MAGIC = b"PLSIDX02"
+INDEX = np.dtype([("offset", "<u8"), ("bytes", "<u8"), ("ids", "<u8"), ("before", "<u8")])
 #: Bytes of data that a reader holds at once, but for a larger single frame.
 READ_BYTES = 8 << 20
 #: Frames that one reading task takes from the index at once.
@@ -145,13 +145,13 @@ class TextEncoder:
 
     def _cut(self, text: str) -> list[str] | None:
         """The text's pre-tokens; None if it must be encoded whole."""
-        if self.split is None or any(a in text for a in self.added):
+        # these two letters' lower case depends on who makes it and on what stands around them
+        if self.split is None or "\u0130" in text or "\u03a3" in text or any(a in text for a in self.added):
             return None
         if text.isascii():
             return self.split_ascii.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
-        # these two letters' lower case depends on who makes it: it is left to the library
-        return self.split.findall(text if "\u0130" in text or "\u03a3" in text else text.lower())
+        return self.split.findall(text.lower()) if "\u0130" not in text and "\u03a3" not in text else None
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
@@ -190,7 +190,7 @@ def _write(tokenizer: str, end_id: int, folder: str):
                 ids = np.frombuffer(own + end, "<u4")
                 data = frame(payload(doc_id, ids, width))
                 out.write(data)
-                index.append((at, len(data) - 16, len(ids)))
+                index.append((at, len(data) - 16, len(ids), tokens))
                 at, tokens = at + len(data), tokens + len(ids)
         if out is not None:
             out.close()
@@ -266,8 +266,8 @@ def read_records(spark: SparkSession, manifest: DataFrame, folder: str, ids: boo
         store, _ = _store(folder)
         for b in batches:
             for r in b.to_pylist():
-                entries = read_index(store, r["file"], 0, r["first"] + r["n"])
-                start, entries = r["start"] + int(entries["ids"][: r["first"]].sum()), entries[r["first"] :]
+                entries = read_index(store, r["file"], r["first"], r["n"])
+                start = r["start"] + int(entries["before"][0])
                 for at in range(0, len(entries), 512):
                     got = list(read_at(store, r["file"], entries[at : at + 512]))
                     counts = np.array([len(x) for _, x in got], np.int64)

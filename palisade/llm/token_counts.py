@@ -79,6 +79,13 @@ class _Pieces:
         # the model puts one space before each text: what must not have it is encoded behind a newline
         self.lead = len(self.model.encode("\n"))
 
+    def alone(self, text: str) -> bool:
+        """Whether a text must be counted whole: the model's own mark of a space isn't told from spaces."""
+        return "\u2581" in text
+
+    def whole(self, text: str) -> int:
+        return len(self.model.encode(text))
+
     def split(self, text: str) -> list[str]:
         if not text:
             return []
@@ -121,6 +128,12 @@ class _Library:
         self.model.no_padding()
         self.pattern = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
+    def alone(self, text: str) -> bool:
+        return False
+
+    def whole(self, text: str) -> int:
+        return len(self.model.encode(text, add_special_tokens=False).ids)
+
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
@@ -148,7 +161,8 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text", ro
         seen: Counter[str] = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen.update(p for p in model.split(t or "") if len(p) <= 64)
+                if not model.alone(t or ""):
+                    seen.update(p for p in model.split(t or "") if len(p) <= 64)
             if len(seen) > 8 * entries:
                 seen = Counter(dict(seen.most_common(4 * entries)))
         top = seen.most_common(entries)
@@ -186,7 +200,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str
         seen: dict[str, int] = {}  # what this task has looked up in either tier
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            split = [model.split(t) for t in texts]
+            whole = {k: model.whole(t) for k, t in enumerate(texts) if model.alone(t)}
+            split = [[] if k in whole else model.split(t) for k, t in enumerate(texts)]
             if len(seen) > cache.limit:
                 seen.clear()
             wanted = set().union(*split).difference(seen)
@@ -196,7 +211,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str
             missed = wanted.difference(seen)
             cache.ready([missed])
             seen.update((p, cache[p]) for p in missed)
-            counts = [sum(map(seen.__getitem__, s)) for s in split]
+            counts = [whole.get(k, 0) + sum(map(seen.__getitem__, s)) for k, s in enumerate(split)]
             for p in cache.done():
                 seen.pop(p, None)
             yield pa.RecordBatch.from_arrays(
