@@ -1,15 +1,19 @@
 """Main text of web pages by nearest-URL differencing, guarded by markup.
 
 A page's blocks are its lines. Pages stand in order of host and URL path; each is
-paired with that neighbour of its host whose path shares the longer prefix. The lines
-of the two are aligned by a longest common subsequence (bit-parallel), and lines that
-both have are deleted.
+paired with that neighbour of its host whose path shares the longer prefix and that has
+other content: where a neighbour has all but a twentieth of the page's text, it is a copy
+and the other neighbour is taken. The lines of the two are aligned by a longest common
+subsequence (bit-parallel), and lines that both have are deleted.
 
 Differencing alone is wrong at both ends: menus and adverts that change from page to
-page differ from the neighbour's, and pages with the same article share all of it. So
-markup decides where it is plain: lines within navigation, headers, footers, forms and
-the like never stay, and lines within an article are not deleted for being shared. All
-other lines stand or fall by the difference.
+page differ from the neighbour's, and different articles can quote the same passage. So
+markup has a say where it is plain. Lines within navigation, footers, forms and the like,
+and outside of articles within blocks whose class or id names such a thing, never stay.
+Within an article element names count on sections alone, and its lines aren't deleted for
+being shared: articles quote one another, and repeat lines that belong to them. All other
+lines stand or fall by the difference, also those within ``main``. A page without a
+neighbour is left to markup.
 
 Only hashes of lines travel to the neighbour. The ranks that pair pages come from range
 partitions, so a host with a third of all pages is ranked by many tasks.
@@ -49,8 +53,10 @@ _NAMES = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay paywall skip".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Flags of a line.
-DROPPED, OPEN, MAIN = 0, 1, 2
+#: Elements that a class or id can mark as no part of an article that they stand in.
+_SECTIONS = frozenset("div section ul ol dl table figure article details".split())
+#: Flags of a line: it goes, differencing decides, it stands in an article and stays.
+DROPPED, OPEN, ARTICLE = 0, 1, 2
 
 
 def _marks(attrs: str) -> tuple[set[str], str, bool]:
@@ -72,8 +78,8 @@ def lines_of(html: str) -> list[tuple[str, int]]:
     """(text, flag) of the page's blocks in order, empty ones left out."""
     out: list[tuple[str, int]] = []
     text: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # (tag, flag of what is inside, in an article)
-    flag, article = OPEN, False
+    stack: list[tuple[str, int]] = []  # (tag, flag of what is inside)
+    flag, articles = OPEN, 0
 
     def end() -> None:
         if text:
@@ -104,11 +110,11 @@ def lines_of(html: str) -> list[tuple[str, int]]:
                 end()
             if depth >= 0:
                 # an inline end tag doesn't close the blocks around it
-                if tag in _BLOCKS or not any(t in _BLOCKS for t, _, _ in stack[depth:]):
-                    if any(f != flag for _, f, _ in stack[depth:]) or (stack[depth - 1][1] if depth else OPEN) != flag:
+                if tag in _BLOCKS or not any(t in _BLOCKS for t, _ in stack[depth:]):
+                    if any(f != flag for _, f in stack[depth:]) or (stack[depth - 1][1] if depth else OPEN) != flag:
                         end()
                     del stack[depth:]
-                    flag, article = (stack[-1][1], stack[-1][2]) if stack else (OPEN, False)
+                    flag = stack[-1][1] if stack else OPEN
             continue
         if tag in _RAW:
             if not m[3].rstrip().endswith("/"):
@@ -120,23 +126,23 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             end()
             if stack and stack[-1][0] == "p":  # a block ends an open paragraph
                 stack.pop()
-                flag, article = (stack[-1][1], stack[-1][2]) if stack else (OPEN, False)
+                flag = stack[-1][1] if stack else OPEN
         if tag in _VOID:
             continue
-        inside, in_article = flag, article
+        inside, article = flag, tag == "article" or role == "article"
         if flag != DROPPED:
-            if tag in _BOILERPLATE or hidden or role in _ROLES or names & _NAMES or tag == "header" and not article:
+            # the page's first article is one whatever it is called; later ones can be readers' comments
+            named = bool(names & _NAMES) and not (article and not articles) and (flag == OPEN and tag not in ("main", "body", "html") or tag in _SECTIONS)
+            if tag in _BOILERPLATE or hidden or role in _ROLES or named or tag == "header" and flag == OPEN:
                 inside = DROPPED
-            elif tag in ("article", "main") or role in ("main", "article"):
-                inside, in_article = MAIN, True
-            elif tag == "header":
-                inside = DROPPED
-        elif article and tag in _HEADINGS and stack and stack[-1][0] == "header" and not (names & _NAMES or hidden):
-            inside = MAIN  # an article's own title within its header
+            elif article:
+                inside, articles = ARTICLE, articles + 1
+        elif tag in _HEADINGS and len(stack) > 1 and stack[-1][0] == "header" and stack[-2][1] == ARTICLE and not (names & _NAMES or hidden):
+            inside = ARTICLE  # an article's own title within its header
         if inside != flag:
             end()
-        stack.append((tag, inside, in_article))
-        flag, article = inside, in_article
+        stack.append((tag, inside))
+        flag = inside
     end()
     return out
 
@@ -174,25 +180,36 @@ def place_of(url: str | None) -> tuple[str | None, str]:
         return None, ""
 
 
-def _parsed(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, urls = b.column(0), b.column(1).to_pylist()
-            found = [lines_of(h or "") for h in b.column(2).to_pylist()]
-            if with_text:
-                kept = [[(k, t) for k, (t, f) in enumerate(x) if f != DROPPED] for x in found]
-                cols = [keys, b.column(3), b.column(1), pa.array([[k for k, _ in x] for x in kept], pa.list_(pa.int32())), pa.array([[t for _, t in x] for x in kept], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "id", "url", "places", "lines"])
-            else:
-                hosts, paths = zip(*map(place_of, urls), strict=True) if urls else ((), ())
-                hashes = [[xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in x] for x in found]
-                cols = [
-                    keys, pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())),
-                    pa.array([[k for k, (_, f) in enumerate(x) if f == OPEN] for x in found], pa.list_(pa.int32())),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "host", "path", "hashes", "open"])
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, host, path and by line: hashes, flags, sizes."""
+    for b in batches:
+        found = [lines_of(h or "") for h in b.column(2).to_pylist()]
+        places = [place_of(u) for u in b.column(1).to_pylist()]
+        hashes = [[xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in x] for x in found]
+        yield pa.RecordBatch.from_arrays([
+            b.column(0), pa.array([h for h, _ in places], pa.string()), pa.array([p for _, p in places], pa.string()), pa.array(hashes, pa.list_(pa.int64())),
+            pa.array([[f for _, f in x] for x in found], pa.list_(pa.int32())), pa.array([[len(t) for t, _ in x] for x in found], pa.list_(pa.int32())),
+        ], names=["key", "host", "path", "hashes", "flags", "sizes"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, id, url, and the lines that markup leaves with their places."""
+    for b in batches:
+        found = [[(k, t) for k, (t, f) in enumerate(lines_of(h or "")) if f != DROPPED] for h in b.column(2).to_pylist()]
+        cols = [b.column(0), b.column(3), b.column(1), pa.array([[k for k, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["key", "id", "url", "places", "lines"])
+
 
-    return run
+def deleted(hashes: list[int], flags: list[int], sizes: list[int], neighbours: list[list[int]]) -> list[int]:
+    """The places of the lines that go because the nearest neighbour with other content has them,
+    too. neighbours: the hashes of their lines, nearest first."""
+    left = [k for k, f in enumerate(flags) if f != DROPPED]
+    for other in neighbours:
+        both = set(aligned(hashes, other))
+        if 20 * sum(sizes[k] for k in left if k not in both) < sum(sizes[k] for k in left):
+            continue  # a copy
+        return sorted(k for k in both if flags[k] == OPEN)
+    return []
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,28 +218,26 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, gone = [], []
         for r in b.to_pylist():
             near = [(len(commonprefix([r["path"], r[f"{s}_path"]])), s == "prev", r[f"{s}_hashes"]) for s in ("prev", "next") if r[f"{s}_hashes"] is not None]
-            if near:
-                both = set(aligned(r["hashes"], max(near, key=lambda x: x[:2])[2])).intersection(r["open"])
-                if both:
-                    keys.append(r["key"])
-                    gone.append(sorted(both))
+            both = deleted(r["hashes"], r["flags"], r["sizes"], [x[2] for x in sorted(near, key=lambda x: x[:2], reverse=True)])
+            if both:
+                keys.append(r["key"])
+                gone.append(both)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
 
 
 def deletions(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """key (hash of id, URL and page), gone: what differencing deletes outside articles."""
+    """key (hash of id, URL and page), gone: the places of the lines that differencing deletes."""
     own = pages.select(F.xxhash64(id_col, url_col, html_col).alias("key"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    light = map_batches(own, _parsed(False), "key long, host string, path string, hashes array<long>, open array<int>")
+    # written, or the sampling of ranges would parse all pages once more
+    light = written(map_batches(own, _parsed, "key long, host string, path string, hashes array<long>, flags array<int>, sizes array<int>"), "page-lines")
     ranked = written(positions(light.where("host is not null"), ["host", "path", "key"]), "pages")
     there = lambda by, side: ranked.select(
         (F.col("pos") + by).alias("pos"), F.col("host").alias(f"{side}_host"), F.col("path").alias(f"{side}_path"), F.col("hashes").alias(f"{side}_hashes")
     )
-    # pages without a line that markup leaves open have nothing to lose
-    asked = ranked.where(F.size("open") > 0)
-    both = asked.join(there(1, "prev"), "pos", "left").join(there(-1, "next"), "pos", "left")
+    both = ranked.join(there(1, "prev"), "pos", "left").join(there(-1, "next"), "pos", "left")
     same = lambda side, c: F.when(F.col(f"{side}_host") == F.col("host"), F.col(f"{side}_{c}")).alias(f"{side}_{c}")
-    both = both.select("key", "path", "hashes", "open", *[same(s, c) for s in ("prev", "next") for c in ("path", "hashes")])
-    return both.mapInArrow(_shared, "key long, gone array<int>").dropDuplicates(["key"])
+    both = both.select("key", "path", "hashes", "flags", "sizes", *[same(s, c) for s in ("prev", "next") for c in ("path", "hashes")])
+    return written(map_batches(both, _shared, "key long, gone array<int>").dropDuplicates(["key"]), "page-deletions")
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -230,14 +245,14 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     newlines; empty if none), n_chars.
 
     A null page is empty. A page without a host in its URL has no neighbour, nor has
-    the only page of a host; then markup alone decides. Equal rows count as neighbours,
-    too, and get equal texts. An empty table gives no rows.
+    the only page of a host or one between copies of itself; then markup alone decides. Equal
+    rows get equal texts. An empty table gives no rows.
     """
     small_batches(pages.sparkSession)
     gone = deletions(pages, id_col, url_col, html_col)
     kind = dict(pages.dtypes)[id_col]
     own = pages.select(F.xxhash64(id_col, url_col, html_col).alias("key"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.col(id_col).alias("id"))
-    lines = map_batches(own, _parsed(True), f"key long, id {kind}, url string, places array<int>, lines array<string>")
+    lines = map_batches(own, _texts, f"key long, id {kind}, url string, places array<int>, lines array<string>")
     joined = lines.join(gone, "key", "left")
     kept = F.filter(F.arrays_zip("places", "lines"), lambda x: ~F.array_contains("gone", x["places"]))
     text = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(kept, lambda x: x["lines"])), "\n\n")

@@ -143,13 +143,13 @@ def rules() -> list[Rule]:
     return [
         Rule("few_words", lambda m: m.n_words < MIN_WORDS),
         Rule("repeated_words", lambda m: 100 * m.n_repeat_words > MAX_REPEAT_PERCENT * m.n_words),
-        Rule("short_words", lambda m: m.word_chars < MIN_WORD_CHARS * m.n_words),
-        Rule("long_words", lambda m: m.word_chars > MAX_WORD_CHARS * m.n_words),
+        Rule("word_length", lambda m: let(m.word_chars, lambda n: (n < MIN_WORD_CHARS * m.n_words) | (n > MAX_WORD_CHARS * m.n_words))),
         Rule("symbols", lambda m: 100 * m.n_symbols > MAX_SYMBOLS_PERCENT * m.n_words),
         Rule("repeated_lines", lambda m: 100 * m.n_dup_lines > MAX_DUP_LINES_PERCENT * m.n_lines),
         Rule("words_without_letters", lambda m: 100 * F.regexp_count(m.text, F.lit(r"(?<![^ \t-\r])[^ \t-\r\p{L}]++(?![^ \t-\r])")) > (100 - MIN_ALPHA_PERCENT) * m.n_words),
-        Rule("bullets", lambda m: 100 * F.regexp_count(m.text, F.lit(r"(?m)^[ \t]*[-*•]")) > MAX_BULLET_PERCENT * m.n_lines),
-        Rule("ellipses", lambda m: 100 * F.regexp_count(m.text, F.lit(r"(?m)(\.\.\.|…)[ \t]*$")) > MAX_ELLIPSIS_PERCENT * m.n_lines),
+        # without a find there is nothing to compare with the lines
+        Rule("bullets", lambda m: let(F.regexp_count(m.text, F.lit(r"(?m)^[ \t]*[-*•]")), lambda n: (n > 0) & (100 * n > MAX_BULLET_PERCENT * m.n_lines))),
+        Rule("ellipses", lambda m: let(F.regexp_count(m.text, F.lit(r"(?m)(\.\.\.|…)[ \t]*$")), lambda n: (n > 0) & (100 * n > MAX_ELLIPSIS_PERCENT * m.n_lines))),
     ]
 
 

@@ -497,7 +497,7 @@ def similar_components(rows: DataFrame, sets: DataFrame, scratch: Scratch, simil
     filed = sets.select(F.explode("prefix").alias("key"), "vertex")
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "vertex")
     runs = scratch.written(map_batches(by_key(filed), _in_runs(_shared_runs, _ROWS), "key long, vertex long"), "shared-shingles")
-    runs = scratch.written(by_key(runs).mapInArrow(_in_runs(lambda cols: iter([pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "vertex"])]), _ROWS), "key long, vertex long"), "shared-once")
+    runs = scratch.written(runs.dropDuplicates(["key", "vertex"]), "shared-once")
     prints = sets.where(F.size("prefix") > 0).select("vertex", "n", *own).dropDuplicates(["vertex"])
     held = by_key(runs.join(prints, "vertex").select("key", "vertex", "n", *own))
     marked = held.mapInArrow(_in_runs(_near_runs(radius, similarity), TILE), "key long, v long, n int, " + ", ".join(f"{c} long" for c in own) + ", u long, near boolean, more boolean")

@@ -320,6 +320,37 @@ def test_pages(spark):
     assert html_extract.extracted(table.where("page_id < 0")).count() == 0
 
 
+def test_differencing_decides(spark):
+    """Chrome of plain blocks goes by alignment alone; copies and unlucky names lose nothing."""
+    from palisade.llm import html_extract as H
+
+    chrome = lambda k, body: f"<body><div>The Daily Page</div><div>World</div><div>Visits so far: {k}</div>{body}<div>Written by the staff</div></body>"
+    rows = [(k, f"http://h.example/news/{k}", chrome(k, f"<div>story {k} is told here</div><div>and ends so, {k}</div>")) for k in range(10, 20)]
+    rows += [(k, f"http://copies.example/a?x={k}", "<div>the very same page</div><div>twice</div>") for k in (30, 31)]
+    rows += [(40, "http://names.example/a", "<article class='comment'><h1>Views</h1><p id='related-work'>related work</p><p class='share'>a share of it</p></article><article class='comment'>me too!</article>")]
+    quote = "<p>a passage that two articles quote</p>"
+    rows += [(50 + k, f"http://quotes.example/{k}", f"<article><h1>Same title</h1><p>Sign up today</p><p>own {k}</p>{quote}<p>end {k}</p><p>Read on</p></article>") for k in range(2)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extracted(table).collect()}
+    for k in range(10, 20):
+        assert got[k] == f"Visits so far: {k}\n\nstory {k} is told here\n\nand ends so, {k}"
+    assert got[30] == got[31] == "the very same page\n\ntwice" and got[40] == "Views\n\nrelated work\n\na share of it"
+    assert got[50] == "Same title\n\nSign up today\n\nown 0\n\na passage that two articles quote\n\nend 0\n\nRead on"
+    gone = H.deletions(table, "page_id", "url", "html").collect()
+    assert len(gone) == 10 and all(len(r.gone) == 3 for r in gone)
+
+
+def test_odd_pages(spark):
+    from palisade.llm import html_extract as H
+
+    long = "<article>" + "".join(f"<p>paragraph {k}</p>" for k in range(30_000)) + "</article>"
+    rows = [(None, None, None, 1), (1, "http://x.example/1", None, 1), (2, None, "<p>a", 1), (3, "http://x.example/2", long, 1), (3, "http://x.example/2", long, 1), (4, "http://[bad", "<p>b", 2)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, key long")
+    got = sorted((r.page_id or 0, r.url or "", r.n_chars, len(r.text)) for r in H.extracted(table).collect())
+    n = len("\n\n".join(f"paragraph {k}" for k in range(30_000)))
+    assert got == [(0, "", 0, 0), (1, "http://x.example/1", 0, 0), (2, "", 1, 1), (3, "http://x.example/2", n, n), (3, "http://x.example/2", n, n), (4, "http://[bad", 1, 1)]
+
+
 # ---- 9: fingerprints ------------------------------------------------------------------------------------------------
 def test_fingerprints(spark, docs, nothing):
     from palisade.llm import fingerprints as fp
@@ -369,6 +400,81 @@ def test_token_counts(docs, nothing, name):
     assert token_counts.token_counts(nothing, path).count() == 0
 
 
+# ---- letters that the libraries treat in their own way ------------------------------------------------------------------
+def _random_texts(alphabet, n=3000):
+    rnd = random.Random(31)
+    return [(k, "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 14)))) for k in range(n)]
+
+
+def test_records_equal_the_library_on_odd_letters(spark):
+    from tokenizers import Tokenizer
+
+    from palisade.llm import records
+
+    path = T.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    rows = _random_texts([*"İΣσςiIlL'’, .1aé", "'LL", "e\u0301", " "])
+    got = {r.doc_id: r.ids for r in records.token_records(spark.createDataFrame(rows, "doc_id long, text string"), path, 1, ids=True).collect()}
+    assert [d for d, t in rows if got[d] != [*tok.encode(t, add_special_tokens=False).ids, 1]] == []
+
+
+def test_counts_equal_the_library_on_odd_letters(spark):
+    import sentencepiece
+
+    from palisade.llm import token_counts
+
+    path = T.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = _random_texts([*"\u2581\n\t ab.Ａ①\u3000\u00a0", "  ", "<s>"])
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    assert [d for d, t in rows if got[d] != len(model.encode(t))] == []
+
+
+# ---- all registered queries ---------------------------------------------------------------------------------------------
+def test_registered_queries_have_their_columns(spark, docs, tmp_path):
+    from palisade.llm.queries import QUERIES
+
+    docs.drop("target", "root").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "http://a.example/1", "<article>x</article>"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    n = docs.count()
+    want = {
+        "op1": "doc_id bigint, fingerprint string, component_id bigint",
+        "op2": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+        "op3": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+        "op4": "doc_id bigint, text string, n_chars bigint, n_lines bigint, n_dropped bigint",
+        "op5": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+        "op6": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        "op7": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+        "op8": "page_id bigint, url string, text string, n_chars bigint",
+        "op9": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+        "op10": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    }
+    for name, query in QUERIES.items():
+        found = query(spark, str(tmp_path))
+        op = name.split("_")[0]
+        assert ", ".join(f"{c} {t}" for c, t in found.dtypes) == want[op], name
+        rows = found.collect()
+        assert len(rows) == (2 if op == "op8" else n), name
+        if op == "op1":
+            assert all(len(r.fingerprint) == 16 and r.fingerprint == r.fingerprint.lower() for r in rows)
+        if op == "op7":
+            assert all(r.law == "rows" and r.grown_shard is None and 0 <= r["shard"] < 40 for r in rows)
+
+
+def test_mixing_includes_by_size(spark):
+    """The sampled copy takes documents at a rate in proportion to their size; the largest for certain."""
+    from pyspark.sql import functions as F
+
+    from palisade.llm import mixing
+
+    sizes = [10, 20, 40, 80, 2000]
+    rows = [(k, "a", sizes[k % 4] if k % 500 else 2000) for k in range(20_000)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mixing.mixed(table, F.col("size"), share=0.3, max_copies=1, key=F.col("doc_id")).groupBy("size").agg(F.avg("__copies").alias("p")).collect()
+    p = {r["size"]: r.p for r in got}
+    assert p[2000] == 1.0 and all(abs(p[b] / p[a] - 2) < 0.25 for a, b in ((10, 20), (20, 40), (40, 80)) if p[b] < 0.9)
+
+
 # ---- the pipeline ---------------------------------------------------------------------------------------------------------
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
