@@ -28,14 +28,12 @@ def find_all(text: Column, pattern: str | Column, group: int = 0) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step, lambda acc: acc["out"])
 
-    hits = F.regexp_extract_all(text, rx, F.lit(0))
-    values = F.regexp_extract_all(text, rx, F.lit(group)) if group else hits
-    return let(
-        F.struct(F.split(text, rx, -1).alias("parts"), hits.alias("hits"), values.alias("values")),
-        lambda x: F.when(F.size(x["hits"]) > 0, placed(x["parts"], x["hits"], x["values"])).otherwise(
-            F.array().cast("array<struct<start:int,end:int,text:string>>")
-        ),
-    )
+    def all_of(hits: Column) -> Column:
+        values = F.regexp_extract_all(text, rx, F.lit(group)) if group else hits
+        return let(F.struct(F.split(text, rx, -1).alias("parts"), values.alias("values")), lambda x: placed(x["parts"], hits, x["values"]))
+
+    # a text without a match is read once
+    return let(F.regexp_extract_all(text, rx, F.lit(0)), lambda hits: F.when(F.size(hits) > 0, all_of(hits)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>")))
 
 
 def fold_non_overlap(sorted_spans: Column) -> Column:

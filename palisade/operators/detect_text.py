@@ -100,25 +100,49 @@ def search_pattern(pii_type: Column, value: Column) -> Column:
     return F.when(F.length(F.trim(value)) >= LEAST_SEARCHABLE, F.concat(F.lit("(?i)"), own))
 
 
-def known_matches(texts: DataFrame, known: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
-    """Rows (keys, start, end, pii_type, slot, text): known values found in texts; of
-    overlapping ones the longest stays, then the first.
+#: Known values up to this number are broadcast to the texts' runs.
+FEW_VALUES = 20_000
+
 
-    known: (pii_type, value, slot). It is joined by the first characters that both must
-    have: each text is cut into its alphanumeric runs, and a value is tried only on texts
-    that hold the first such run of the value, an equi-join, so neither side needs to be small.
+def known_candidates(texts: DataFrame, known: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
+    """Rows (keys, pii_type, value, slot, rx): the values that a text may hold.
+
+    A text is cut into its alphanumeric runs. A value with fixed separators is looked for by
+    its longest run, which the text must have whole; one whose separators are cosmetic
+    by the first one to four characters of its first run, as more may be parted there. Both are
+    equi-joins; the values are broadcast up to ``FEW_VALUES``.
     """
-    first = lambda c: F.lower(F.regexp_extract(c, r"[A-Za-z0-9]{1,4}", 0))
-    wanted = known.select("pii_type", "value", "slot", search_pattern(F.col("pii_type"), F.col("value")).alias("rx"), first("value").alias("lead")).where("rx is not null")
-    # every place where a run of up to four characters begins
-    runs = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z0-9]+"), F.lit(0))), lambda w: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.substring(w, 1, n)))))
-    held = texts.select(*keys, F.explode(runs).alias("lead")).distinct().join(wanted, "lead")
-    tried = texts.join(held, keys).select(*keys, "pii_type", "slot", find_all(F.col(text_col), F.col("rx")).alias("hits")).where(F.size("hits") > 0)
-    rows = tried.select(*keys, "pii_type", "slot", F.inline("hits"))
+    runs_of = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    wanted = known.select("pii_type", "value", "slot", search_pattern(F.col("pii_type"), F.col("value")).alias("rx")).where("rx is not null")
+    loose = F.col("pii_type").isin(SEPARATOR_INSENSITIVE)
+    longest = F.array_max(F.transform(runs_of("value"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    wanted = wanted.withColumns({"loose": loose, "run": F.when(loose, F.lower(F.regexp_extract("value", r"[A-Za-z0-9]{1,4}", 0))).otherwise(longest)})
+    few = known.limit(FEW_VALUES + 1).count() <= FEW_VALUES
+    side = lambda df: F.broadcast(df) if few else df
+    whole = texts.select(*keys, F.explode(F.array_distinct(runs_of(text_col))).alias("run")).join(side(wanted.where("not loose")), "run")
+    starts = F.array_distinct(F.flatten(F.transform(F.array_distinct(runs_of(text_col)), lambda w: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length(w))), lambda n: F.substring(w, 1, n)))))
+    parted = texts.select(*keys, F.explode(starts).alias("run")).join(side(wanted.where("loose")), "run")
+    return whole.unionByName(parted).select(*keys, "pii_type", "value", "slot", "rx").distinct()
+
+
+def known_matches(texts: DataFrame, known: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
+    """Rows (keys, start, end, pii_type, slot, text): known values (pii_type, value, slot) found
+    in texts; of overlapping ones the longest stays, then the first."""
+    tried = texts.join(known_candidates(texts, known, text_col, keys), keys)
+    there = F.col("pii_type").isin(SEPARATOR_INSENSITIVE) | F.contains(F.lower(text_col), F.lower("value"))
+    hits = F.when(there, find_all(F.col(text_col), F.col("rx")))
+    rows = tried.select(*keys, "pii_type", "slot", hits.alias("hits")).where(F.size("hits") > 0).select(*keys, "pii_type", "slot", F.inline("hits"))
     ranked = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("longest"), "start", "end", "pii_type", "slot", "text")))
     return rows.groupBy(*keys).agg(fold_non_overlap(ranked).alias("m")).select(*keys, F.inline("m")).drop("longest")
 
 
+def holding_known(texts: DataFrame, known: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
+    """The keys of texts that hold any known value: no place of it is looked for."""
+    tried = texts.join(known_candidates(texts, known, text_col, keys), keys)
+    there = F.col("pii_type").isin(SEPARATOR_INSENSITIVE) | F.contains(F.lower(text_col), F.lower("value"))
+    return tried.where(there & F.regexp_like(F.col(text_col), F.col("rx"))).select(*keys).distinct()
+
+
 URL = r"(?i)https?://[^\s\"'<>]+"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..taxonomy import INPUT_TYPES, POLICIES
@@ -13,6 +13,12 @@ from ..taxonomy import INPUT_TYPES, POLICIES
 NON_TEXT = ["checkbox", "radio", "file", "range", "color", "button", "submit", "reset", "image", "hidden"]
 INTERCHANGEABLE = ["roll_number", "registration_number", "person_name", "given_name", "family_name", "email", "phone"]
 MUST_DECLARE = ["api_key", "secret_token"]
+# Types that the user gives and a model never makes up, and how sure markup must be of one.
+NEVER_INVENTED = [
+    "person_name", "given_name", "family_name", "address", "email", "phone", "date_of_birth", "aadhaar", "pan", "passport", "voter_id", "driving_licence", "gstin", "credit_card",
+    "bank_account", "ifsc", "upi_id", "roll_number", "registration_number", "vehicle_number", "password", "otp", "cvv", "api_key", "secret_token",
+]
+LEAST_DECLARED = 0.6
 # Dispatched actions allowed in a trailing window.
 RATE_LIMIT, RATE_WINDOW_MS = 60, 10_000
 
@@ -52,8 +58,14 @@ def resolved(actions: DataFrame, store: DataFrame) -> DataFrame:
     ).drop("__h", "__t", "__exact")
 
 
-def verdicts(actions: DataFrame, page: DataFrame, store: DataFrame) -> DataFrame:
-    """actions (type, target, value_kind, handle, url, origin) with code: ok or why not.
+def asks_identity(signals: Column) -> Column:
+    """Whether a field's own markup (signals: pii_type, confidence) asks for what is never made up."""
+    return F.exists(signals, lambda s: (s["confidence"] >= LEAST_DECLARED) & s["pii_type"].isin(NEVER_INVENTED))
+
+
+def verdicts(actions: DataFrame, page: DataFrame, store: DataFrame, viewport: tuple[float, float] = (1280, 800)) -> DataFrame:
+    """actions (type, target, value_kind, text, handle, url, keys, x, y, recent, origin) with code:
+    ok or why not. recent: actions dispatched within the rate window before.
 
     page: (target, hidden, disabled, editable, asks_identity, input_type); store:
     (handle, pii_type, site, confirm). One page and store a call: both are small by
@@ -63,17 +75,30 @@ def verdicts(actions: DataFrame, page: DataFrame, store: DataFrame) -> DataFrame
     declared = F.when(c("input_type").isin(list(INPUT_TYPES)), F.array(F.element_at(F.create_map(*[F.lit(x) for p in INPUT_TYPES.items() for x in p]), c("input_type")))).otherwise(F.array().cast("array<string>"))
     typed = (
         F.when(~c("editable"), "not_interactable")
-        .when(c("value_kind") == "literal", F.when(c("asks_identity"), "secret_target_mismatch").otherwise("ok"))
+        .when(c("value_kind") == "literal", F.when(c("asks_identity") & (F.trim(F.coalesce("text", F.lit(""))) != ""), "secret_target_mismatch").otherwise("ok"))
         .when(c("pii_type").isNull(), "unresolvable_placeholder")
         .when(~field_accepts(c("pii_type"), c("input_type"), c("editable"), declared), "secret_target_mismatch")
         .when(c("confirm").isNotNull() & (site_verdict(c("confirm"), c("site"), c("origin")) == "refuse"), "wrong_site").otherwise("ok")
     )
+    inside = c("x").between(0, viewport[0]) & c("y").between(0, viewport[1])
     code = (
-        F.when(c("type").isin("noop", "stop", "request_user_input", "go_back", "go_forward"), "ok")
+        F.when(F.coalesce("recent", F.lit(0)) >= RATE_LIMIT, "rate_limited")
+        .when(c("type").isin("noop", "stop", "request_user_input", "go_back", "go_forward"), "ok")
         .when(c("type") == "goto_url", F.when(~c("url").rlike("(?i)^[a-z][a-z0-9+.-]*:"), "schema").when(~c("url").rlike("(?i)^https?:"), "url_not_allowed").otherwise("ok"))
+        .when(c("type") == "key_press", F.when(F.trim(F.coalesce("keys", F.lit(""))) == "", "schema").otherwise("ok"))
+        .when(c("type") == "click_point", F.when(F.coalesce(inside, F.lit(False)), "ok").otherwise("schema"))
+        .when((c("type") == "scroll") & c("target").isNull(), "ok")
+        .when(~c("type").isin("click", "hover", "scroll", "select", "type"), "schema")
         .when(c("__there").isNull(), "unknown_target").when(c("type").isin("scroll", "hover"), "ok")
         .when(c("hidden") | c("disabled"), "not_interactable").when(c("type") == "click", "ok")
         .when(c("type") == "select", F.when((c("value_kind") == "placeholder") & c("pii_type").isNull(), "unresolvable_placeholder").otherwise("ok"))
-        .when(c("type") == "type", typed).otherwise("schema")
+        .otherwise(typed)
     )
     return rows.withColumn("code", code).drop("__there")
+
+
+def first_refusals(judged: DataFrame, run: str, order: str) -> DataFrame:
+    """By run the place of the first action that is refused, and why; its number of actions and ok if none is."""
+    nth = F.row_number().over(Window.partitionBy(run).orderBy(order)) - 1
+    rows = judged.withColumn("nth", nth).groupBy(run).agg(F.min(F.when(F.col("code") != "ok", F.struct("nth", "code"))).alias("f"), F.count("*").alias("n"))
+    return rows.select(run, F.coalesce(F.col("f.nth").cast("long"), "n").alias("index"), F.coalesce("f.code", F.lit("ok")).alias("code"))

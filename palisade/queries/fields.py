@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import re2, sql
 from ..operators import detect_text, fields
-from ..sources.derived import id_candidates, table
+from ..sources.derived import id_candidates, spread, table
 from ..taxonomy import AUTOCOMPLETE, AUTOCOMPLETE_CONFIDENCE, INPUT_CONFIDENCE, INPUT_TYPES, LABEL_RULES, PASSWORD_INPUT_CONFIDENCE, SEPARATOR_INSENSITIVE
 from .registry import Registry
 
@@ -92,11 +92,11 @@ def scannable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- known values --------------------------------------------------------------------------------
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known values: the whole words in the first forty characters of benchmark passages."""
-    return table(spark, sf_dir, "benchmark").select(F.lit("person_name").alias("pii_type"), F.regexp_replace(F.substring("text", 1, 40), r"[ \n][^ \n]*\z", "").alias("value"), F.concat(F.lit("b"), F.col("item_id")).alias("slot"))
+    """Known values: whole benchmark passages."""
+    return table(spark, sf_dir, "benchmark").select(F.lit("person_name").alias("pii_type"), F.col("text").alias("value"), F.concat(F.lit("b"), F.col("item_id")).alias("slot"))
 
 
-_KNOWN = "SELECT item_id, regexp_replace(substr(text, 1, 40), '[ \\n][^ \\n]*$', '') AS value FROM benchmark"
+_KNOWN = "SELECT item_id, text AS value FROM benchmark"
 
 
 @query(f"""
@@ -104,7 +104,7 @@ _KNOWN = "SELECT item_id, regexp_replace(substr(text, 1, 40), '[ \\n][^ \\n]*$',
   WHERE regexp_matches(d.text, '(?i)' || CASE WHEN regexp_matches(b.value, '^[A-Za-z0-9_]') THEN '\\b' ELSE '' END || regexp_replace(b.value, '([.*+?^$' || '{{' || '}}' || '()|\\[\\]\\\\])', '\\\\\\1', 'g') || CASE WHEN regexp_matches(b.value, '[A-Za-z0-9_]$') THEN '\\b' ELSE '' END)""")
 def known_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known values found in documents: the first place of each pair."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = detect_text.known_matches(docs, passages(spark, sf_dir), "text", ["doc_id"])
     return found.groupBy("doc_id", "slot").agg(F.min("start").cast("long").alias("first_at"))
 
@@ -112,8 +112,8 @@ def known_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM ({_KNOWN}) b WHERE contains(lower(d.text), lower(b.value)))")
 def leaking_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold any known value: the gate before text leaves."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return detect_text.known_matches(docs, passages(spark, sf_dir), "text", ["doc_id"]).select("doc_id").distinct()
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return detect_text.holding_known(docs, passages(spark, sf_dir), "text", ["doc_id"])
 
 
 

@@ -66,7 +66,7 @@ def policy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GOALS = ["fill the admission form", "show my attendance for march", "download the fee receipt of march", "update phone number", "check exam results"]
 _ROUTE_SQL = f"""SELECT o_orderkey AS route, 'https://s' || o_custkey % 50 || '.example' AS origin, [{', '.join(f"'{g}'" for g in _GOALS)}][(o_orderkey % 5 + 1)::INT] || ' no' || o_orderkey % 7 AS goal,
-  epoch_us(o_orderdate) // 1000 * 1000000 + o_orderkey AS saved_at, (o_orderkey % 30)::INT AS steps FROM orders WHERE o_orderkey < 4000"""
+  epoch_us(o_orderdate) // 1000 * 1000000 + o_orderkey AS saved_at, (o_orderkey % 30)::INT AS steps FROM orders"""
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import checksum
 from ..functions.dialect import re2, sql
 from ..operators import detect_text
-from ..sources.derived import ID_CANDIDATES_SQL, LABELLED_SQL, id_candidates, labelled_texts, table
+from ..sources.derived import ID_CANDIDATES_SQL, LABELLED_SQL, id_candidates, labelled_texts, spread, table
 from ..taxonomy import (
     CONTEXT_WINDOW,
     CREDENTIAL_STOP_WORDS,
@@ -139,7 +139,7 @@ _TEXTS_SQL = "SELECT doc_id AS k, text FROM documents UNION ALL SELECT 100000000
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "text")
     turns = table(spark, sf_dir, "conversations").select((1000000000 + F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
-    return docs.unionByName(turns)
+    return spread(docs).unionByName(spread(turns))
 
 
 def _spans(rows: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def policies(spark: SparkSession) -> DataFrame:
   FROM accepted a JOIN documents d ON d.doc_id = a.k JOIN {_POLICY_SQL} USING (pii_type) WHERE a.confidence >= p.threshold GROUP BY ALL""")
 def findings_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans at or above their type's threshold, counted by language and type."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     found = docs.select("doc_id", "lang", F.inline(detect_text.find_patterns(F.col("text"))))
     return found.join(F.broadcast(policies(spark)), "pii_type").where("confidence >= threshold").groupBy("lang", "pii_type", "redaction").agg(
         F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"), F.sum(F.col("end") - F.col("start")).alias("characters")

@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows for work that is dear by the row: dealt out to all cores if their files make fewer
+    tasks than there are cores. A large table has more and is left as it is, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _letter(k: Column) -> Column:
     return F.char((k % 26 + 65).cast("long"))
 
@@ -36,7 +43,7 @@ def id_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "secret": F.concat(_letter(k), F.lower(_letter(k * 3)), _digits(k * 29, 5), F.lower(_letter(k * 5)), _digits(k * 37, 5), _letter(k * 7), F.lower(_letter(k * 9)), _digits(k, 3)),
     }
     rows = F.array(*[F.struct(F.lit(n).alias("kind"), v.alias("value")) for n, v in kinds.items()])
-    return table(spark, sf_dir, "orders").select(k.alias("k"), F.inline(rows))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(k.alias("k"), F.inline(rows))
 
 
 ID_CANDIDATES_SQL = """

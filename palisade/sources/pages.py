@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .derived import spread
+
 # Subtrees that hold nothing visible, tags that end no subtree, and tags that paint pixels.
 SKIPPED = ["script", "style", "noscript", "template", "meta", "link", "title", "head", "base"]
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
@@ -148,7 +150,7 @@ def elements(pages: DataFrame, structural: bool = True) -> DataFrame:
     """Element rows of ``pages`` (page_id, html) that are worth one: interactive, informative,
     painting, or with something to say; at most NODE_CAP a page, in document order."""
     a = lambda n: F.nullif(F.trim(F.col("attrs")[n]), F.lit(""))
-    rows = pages.select("page_id", "html").mapInArrow(_walked, _SCHEMA).withColumn("role", role())
+    rows = spread(pages.select("page_id", "html")).mapInArrow(_walked, _SCHEMA).withColumn("role", role())
     label = rows.where("tag = 'label' and label_of is not null").groupBy("page_id", F.col("label_of").alias("__id")).agg(F.min_by("all_text", "ord").alias("label"))
     rows = rows.withColumn("__id", F.col("attrs")["id"]).join(label, ["page_id", "__id"], "left")
     content = F.when(F.col("role").isin(NAME_FROM_CONTENT), F.nullif(F.col("all_text"), F.lit("")))
