@@ -124,7 +124,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str)
     return df.mapInArrow(fn, schema)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of texts of so many bytes together, or a single longer text."""
     for b in batches:
         size = np.asarray(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0)).cumsum()
