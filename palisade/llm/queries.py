@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_extract, lines, mixing, quality, records, sharding, simhash, token_counts
+from . import bpe, fingerprints, html_extract, lines, mixing, packing, quality, records, sharding, simhash, token_counts
 from .common import table, written
 
 
@@ -79,8 +79,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, size=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_groups, op2_quality_rules, op3_token_records, op4_line_dedup, op5_source_mix, op6_bpe_round_trip, op7_shards, op8_main_text, op9_fingerprints, op10_token_counts)
+    f.__name__: f for f in (
+        op1_simhash_groups, op2_quality_rules, op3_token_records, op4_line_dedup, op5_source_mix, op6_bpe_round_trip, op7_shards,
+        op8_main_text, op9_fingerprints, op10_token_counts, op12_best_fit_packing,
+    )
 }
 
 _WORDS = r"""string_split_regex(coalesce(text, ''), '[ \t-\r]+')"""
