@@ -56,6 +56,8 @@ _COUNTED = 255 << 7
 #: Words of the fingerprints in front of exact similarity, and their radius: sets at a similarity of
 #: 0.8 differ in 39 of 256 bits (standard deviation 6), unlike ones in 128.
 _WIDE, RADIUS = 4, 68
+#: So many sets of a key that stay alone are compared with a centre of their own before they are with each other.
+_ALONE, _ROUNDS = 64, 8
 #: Sets that a task remembers so as to file equal ones once.
 _SEEN = 1 << 19
 
@@ -399,51 +401,82 @@ def _whole_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return map_batches(rows, run, "vertex long, hashes array<long>")
 
 
-def _in_runs(judged, most: int):
+def _in_runs(judged):
     """Over rows sorted by key and vertex: judged(columns) of whole keys, without rows that repeat
-    the (key, vertex) before them. A key of over ``most`` rows is judged in parts, and each
-    part again with the key's first row in front, which links the parts."""
+    the (key, vertex) before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        n, head = 0, None
+        n, enough = 0, _ROWS
         for b in batches:
             if b.num_rows:
                 held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
                 n += b.num_rows
-            if n < _ROWS:
+            if n < enough:
                 continue
             cols = once([np.concatenate(c) for c in zip(*held, strict=True)])
             last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
-            if len(cols[0]) - last > most:
-                last = len(cols[0])
-            if head is not None and head[0][0] == cols[0][0] and cols[1][0] != head[1][0]:
-                cols, last = [np.concatenate(c) for c in zip(head, cols, strict=True)], last + 1
             if last:
                 yield from judged([c[:last] for c in cols])
-                first = int(np.searchsorted(cols[0], cols[0][last - 1]))
-                head = [c[first : first + 1] for c in cols]
             held = [[c[last:] for c in cols]]
             n = len(held[0][0])
+            enough = max(_ROWS, 2 * n)
         if n:
-            cols = once([np.concatenate(c) for c in zip(*held, strict=True)])
-            if head is not None and head[0][0] == cols[0][0] and cols[1][0] != head[1][0]:
-                cols = [np.concatenate(c) for c in zip(head, cols, strict=True)]
-            yield from judged(cols)
+            yield from judged(once([np.concatenate(c) for c in zip(*held, strict=True)]))
 
     return run
 
 
-def _shared_runs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, vertex) of keys with two vertices or more. The new key is a hash of the key's
-    vertices: keys with the same ones would be compared in the same way, and become one."""
-    key, vertex = cols
-    starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-    length = np.diff(np.concatenate([starts, [len(key)]]))
-    sums = np.add.reduceat(mixed(vertex.view(np.uint64)), starts)
-    many = np.repeat(length > 1, length)
-    if many.any():
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mixed(sums), length)[many].view(np.int64)), pa.array(vertex[many])], names=["key", "vertex"])
+def _shared_runs(most: int):
+    """Over rows (key, vertex) sorted by both: those of keys with two vertices or more. The new key is a hash of
+    the key's vertices: keys with the same ones would be compared in the same way, and become one. A key of over
+    ``most`` rows is ``big`` and keeps its name; it passes through in parts that share it."""
+
+    def part(key: np.ndarray, vertex: np.ndarray, big: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(vertex), pa.array(np.full(len(key), big))], names=["key", "vertex", "big"])
+
+    def small(key: np.ndarray, vertex: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        length = np.diff(np.concatenate([starts, [len(key)]]))
+        sums = np.add.reduceat(mixed(vertex.view(np.uint64)), starts)
+        many = np.repeat(length > 1, length)
+        if many.any():
+            yield part(np.repeat(mixed(sums), length)[many], vertex[many], False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        n, going_on = 0, None  # the big key whose rows go on
+
+        def judged(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, n, going_on
+            key, vertex = once([np.concatenate(c) for c in zip(*held, strict=True)])
+            while len(key):
+                ends = int(np.searchsorted(key, key[0], "right"))
+                if key[0] == going_on or ends > most:
+                    going_on = key[0]
+                    yield part(mixed(~key[:ends].view(np.uint64)), vertex[:ends], True)
+                    key, vertex = key[ends:], vertex[ends:]
+                    continue
+                starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+                large = np.flatnonzero(np.diff(starts) > most)
+                ends = int(starts[large[0]] if len(large) else starts[-1] if final else starts[-2])
+                if not ends:
+                    break  # the last key may go on
+                yield from small(key[:ends], vertex[:ends])
+                key, vertex = key[ends:], vertex[ends:]
+            held = [[key, vertex]]
+            n = len(key)
+
+        for b in batches:
+            if b.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+                n += b.num_rows
+            if n >= max(_ROWS, 2 * most):
+                yield from judged(False)
+        if n:
+            yield from judged(True)
+
+    return run
 
 
 def _near_runs(radius: int, similarity: float):
@@ -483,25 +516,40 @@ def _near_runs(radius: int, similarity: float):
     return judged
 
 
-def similar_components(rows: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, shingle: int, radius: int) -> DataFrame:
+def _paired(big: DataFrame, tile: int) -> DataFrame:
+    """big: distinct (key, vertex) of keys with too many vertices for one task. Rows (key, vertex) under
+    keys of at most two tiles of about ``tile`` vertices, such that any two vertices of a key meet. Of keys
+    with the same vertices one is left."""
+    sets = big.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("vertex").cast("decimal(38,0)")).alias("s"))
+    sets = sets.groupBy("n", "s").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / tile).cast("long").alias("tiles"))
+    own = F.pmod(F.xxhash64("vertex"), F.col("tiles"))
+    pair = lambda other: F.xxhash64("key", F.least(other, own), F.greatest(other, own))
+    tiles = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
+    return big.join(sets, "key").select(F.explode(F.transform(tiles, pair)).alias("key"), "vertex")
+
+
+def similar_components(rows: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, shingle: int, radius: int, tile: int = TILE) -> DataFrame:
     """Rows (vertex, root) of the components that all pairs of exact Jaccard similarity
     ``similarity`` or more make of the vertices of ``sets`` (``shingle_sets`` of ``rows``).
 
     Similar sets share a member of their prefixes (``prefix_length``), so a set is filed
-    under each of its own. Under a key, sets are compared by their fingerprints, bit-sliced;
+    under each of its own. A key with over ``tile`` sets is cut into tiles, and each two of its tiles
+    are a key. Under a key, sets are compared by their fingerprints, bit-sliced;
     those within the radius are verified by their whole sets. To spare the pairs of a large
-    group, a key's sets are first verified against its central one, and then only sets that
-    this leaves in different components against the rest of their key.
+    group, a key's sets are first verified against its central one; while many of a key's sets stay
+    alone, these are verified against a central one of their own; and only then
+    sets in different components against the rest of their key.
     """
     own = names(_WIDE)
     filed = sets.select(F.explode("prefix").alias("key"), "vertex")
     by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "vertex")
-    runs = scratch.written(map_batches(by_key(filed), _in_runs(_shared_runs, _ROWS), "key long, vertex long"), "shared-shingles")
+    runs = scratch.written(map_batches(by_key(filed), _shared_runs(tile), "key long, vertex long, big boolean"), "shared-shingles")
     runs = scratch.written(runs.dropDuplicates(["key", "vertex"]), "shared-once")
+    tiled = _paired(runs.where("big").select("key", "vertex"), tile)
     prints = sets.where(F.size("prefix") > 0).select("vertex", "n", *own).dropDuplicates(["vertex"])
-    held = by_key(runs.join(prints, "vertex").select("key", "vertex", "n", *own))
-    marked = held.mapInArrow(_in_runs(_near_runs(radius, similarity), TILE), "key long, v long, n int, " + ", ".join(f"{c} long" for c in own) + ", u long, near boolean, more boolean")
-    marked = scratch.written(marked, "near-sets")
+    held = runs.where("not big").select("key", "vertex").unionByName(tiled).join(prints, "vertex").select("key", "vertex", "n", *own)
+    marks = "key long, v long, n int, " + ", ".join(f"{c} long" for c in own) + ", u long, near boolean, more boolean"
+    marked = scratch.written(by_key(held).mapInArrow(_in_runs(_near_runs(radius, similarity)), marks), "near-sets")
     if marked.isEmpty():  # no text is shuffled for nothing
         return components(marked.select("u", "v"))
     ends = marked.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
@@ -515,11 +563,28 @@ def similar_components(rows: DataFrame, sets: DataFrame, scratch: Scratch, simil
         common = F.size(F.array_intersect("a", "b"))
         return scratch.written(both.where(common >= (F.size("a") + F.size("b") - common) * similarity - 1e-9).select("u", "v"), f"{name}-similar")
 
+    def classed(roots: DataFrame) -> DataFrame:
+        of = lambda v, name: roots.select(F.col("vertex").alias(v), F.col("root").alias(name))
+        named = marked.where("more").join(of("v", "c"), "v", "left").join(of("u", "cu"), "u", "left")
+        return scratch.written(named.select("key", "v", "n", *own, F.coalesce("c", "v").alias("c"), F.coalesce("cu", "u").alias("cu")), "set-classes")
+
     edges = verified(marked.where("near"), "set-pairs")
     roots = components(edges)
-    root_of = lambda v, name: roots.select(F.col("vertex").alias(v), F.col("root").alias(name))
-    named = marked.where("more").join(root_of("v", "c"), "v", "left").join(root_of("u", "cu"), "u", "left")
-    named = scratch.written(named.select("key", "v", "n", *own, F.coalesce("c", "v").alias("c"), F.coalesce("cu", "u").alias("cu")), "set-classes")
+    named = classed(roots)
+    for _ in range(_ROUNDS):  # each links the groups around new centres; what is left after them goes on as it is
+        linked = roots.select(F.col("root").alias("v")).distinct()
+        alone = named.where("c = v and c <> cu").join(linked, "v", "left_anti")
+        crowded = alone.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") >= _ALONE).select("key")
+        crowd = alone.join(crowded, "key", "left_semi").select("key", F.col("v").alias("vertex"), "n", *own)
+        around = scratch.written(by_key(crowd).mapInArrow(_in_runs(_near_runs(radius, similarity)), marks).where("near").select("u", "v"), "centres")
+        if around.isEmpty():
+            break
+        more = verified(around, "set-pairs-alone")
+        if more.isEmpty():
+            break
+        edges = edges.unionByName(more)
+        roots = components(edges)
+        named = classed(roots)
     out = named.where("c <> cu").select("key", F.col("v").alias("x"), F.col("c").alias("cx"), *[F.col(c).alias("x" + c) for c in ("n", *own)])
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("x" + c))) for c in own), F.lit(0))
     near = (apart <= radius) & (F.least("n", "xn") >= F.greatest("n", "xn") * similarity - 1e-9)
@@ -528,7 +593,7 @@ def similar_components(rows: DataFrame, sets: DataFrame, scratch: Scratch, simil
     return roots if more.isEmpty() else components(edges.unionByName(more))
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = RADIUS, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the row with the least id (null
     last), of equal ids the one with the least hash; rows equal in id and text leave one, the
     least in their other columns. Columns stay as they are.
@@ -542,7 +607,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius:
     row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     rows = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"))
     sets = scratch.written(shingle_sets(rows, shingle, similarity), "row-sets")
-    roots = similar_components(rows, sets, scratch, similarity, shingle, radius)
+    roots = similar_components(rows, sets, scratch, similarity, shingle, radius, tile)
     classes = sets.select("row", "vertex").distinct().join(roots, "vertex", "left").select("row", F.coalesce("root", "vertex").alias("root"))
     others = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in (id_col, text_col)]
     # of rows equal in id and text one stays, by a hash of the rest: a narrow table decides
