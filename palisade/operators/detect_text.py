@@ -86,61 +86,117 @@ def escaped(value: Column) -> Column:
     return F.regexp_replace(value, r"([.*+?^${}()|\[\]\\])", r"\\$1")
 
 
+def trimmed(value: Column) -> Column:
+    """Without Unicode white space around it."""
+    return F.regexp_replace(value, f"\\A[{JAVA_SPACE}]+|[{JAVA_SPACE}]+\\z", "")
+
+
+#: Characters between those of a value whose separators are cosmetic, inside a class.
+_SEPARATORS = f"[{JAVA_SPACE}\\-/.()]"
+
+
 def search_pattern(pii_type: Column, value: Column) -> Column:
     """How a known value is looked for: with optional separators between its characters
-    for types whose separators are cosmetic, else as it is with word boundaries. Null for
-    values too short to search for."""
-    bare = F.regexp_replace(value, f"[{JAVA_SPACE}\\-/.()]", "")
-    loose = F.array_join(F.transform(F.filter(F.split(bare, ""), lambda c: c != ""), escaped), f"[{JAVA_SPACE}\\-/.]?")
+    for types whose separators are cosmetic, else as it is, with word boundaries where it begins or ends
+    with an ASCII word character. Case never counts, in any script. Null for values too short to search for."""
+    own = trimmed(value)
+    bare = F.regexp_replace(own, _SEPARATORS, "")
+    loose = F.array_join(F.transform(F.filter(F.split(bare, ""), lambda c: c != ""), escaped), _SEPARATORS + "?")
     edge = java(r"\b")
     exact = F.concat(
-        F.when(value.rlike(r"\A[A-Za-z0-9_]"), F.lit(edge)).otherwise(F.lit("")), escaped(value), F.when(value.rlike(r"[A-Za-z0-9_]\z"), F.lit(edge)).otherwise(F.lit(""))
+        F.when(own.rlike(r"\A[A-Za-z0-9_]"), F.lit(edge)).otherwise(F.lit("")), escaped(own), F.when(own.rlike(r"[A-Za-z0-9_]\z"), F.lit(edge)).otherwise(F.lit(""))
     )
-    own = F.when(pii_type.isin(SEPARATOR_INSENSITIVE), loose).otherwise(exact)
-    return F.when(F.length(F.trim(value)) >= LEAST_SEARCHABLE, F.concat(F.lit("(?i)"), own))
+    rx = F.when(pii_type.isin(SEPARATOR_INSENSITIVE), F.when(bare != "", loose)).otherwise(exact)
+    return F.when(F.length(own) >= LEAST_SEARCHABLE, F.concat(F.lit("(?iu)"), rx))
+
+
+#: Code points of a gram, grams that a value is tried with, and bytes of a table that may be broadcast.
+GRAM, TRIED, BROADCAST_BYTES = 5, 8, 8 << 20
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has no more than ``BROADCAST_BYTES``, measured as JSON."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-#: Known values up to this number are broadcast to the texts' runs.
-FEW_VALUES = 20_000
+def folded(s: Column) -> Column:
+    """Alike for strings that differ in case alone, as patterns take it, in any script: a key, not a text."""
+    return F.translate(F.replace(F.lower(F.upper(s)), F.lit("ß"), F.lit("ss")), "ς\u0307", "σ")
+
+
+def grams(s: Column, size: int) -> Column:
+    """The runs of ``size`` code points of a string, in order."""
+    of = lambda c: F.when(F.size(c) >= size, F.transform(F.sequence(F.lit(0), F.size(c) - size), lambda k: F.concat(*[F.get(c, k + n) for n in range(size)])))
+    return F.coalesce(let(F.filter(F.split(s, ""), lambda c: c != ""), of), F.array().cast("array<string>"))
 
 
 def known_candidates(texts: DataFrame, known: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     """Rows (keys, pii_type, value, slot, rx): the values that a text may hold.
 
-    A text is cut into its alphanumeric runs. A value with fixed separators is looked for by
-    its longest run, which the text must have whole; one whose separators are cosmetic
-    by the first one to four characters of its first run, as more may be parted there. Both are
-    equi-joins; the values are broadcast up to ``FEW_VALUES``.
+    A text that holds a value holds each of its grams, code points of any script with case folded
+    (for values with cosmetic separators: those of the text without separators). Of up to ``TRIED`` grams of
+    a value the one that the fewest texts have is its key; a value with a gram that no text has
+    is in none. So the join meets few texts a value, and no common word makes a hot key of many values.
     """
-    runs_of = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    wanted = known.select("pii_type", "value", "slot", search_pattern(F.col("pii_type"), F.col("value")).alias("rx")).where("rx is not null")
+    wanted = known.select("pii_type", "value", "slot", search_pattern(F.col("pii_type"), F.col("value")).alias("rx")).where("rx is not null").distinct()
     loose = F.col("pii_type").isin(SEPARATOR_INSENSITIVE)
-    longest = F.array_max(F.transform(runs_of("value"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    wanted = wanted.withColumns({"loose": loose, "run": F.when(loose, F.lower(F.regexp_extract("value", r"[A-Za-z0-9]{1,4}", 0))).otherwise(longest)})
-    few = known.limit(FEW_VALUES + 1).count() <= FEW_VALUES
-    side = lambda df: F.broadcast(df) if few else df
-    whole = texts.select(*keys, F.explode(F.array_distinct(runs_of(text_col))).alias("run")).join(side(wanted.where("not loose")), "run")
-    starts = F.array_distinct(F.flatten(F.transform(F.array_distinct(runs_of(text_col)), lambda w: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length(w))), lambda n: F.substring(w, 1, n)))))
-    parted = texts.select(*keys, F.explode(starts).alias("run")).join(side(wanted.where("loose")), "run")
-    return whole.unionByName(parted).select(*keys, "pii_type", "value", "slot", "rx").distinct()
+    bare = lambda c: F.regexp_replace(c, _SEPARATORS, "")
+    wanted = wanted.withColumn("loose", loose).withColumn("key", F.when(loose, bare(folded("value"))).otherwise(folded(trimmed(F.col("value")))))
+    wanted = wanted.withColumn("size", F.least(F.lit(GRAM), F.length("key")))
+    all_of = F.coalesce(*[F.when(F.col("size") == n, grams(F.col("key"), n)) for n in range(1, GRAM + 1)])
+    spaced = lambda g: F.transform(F.sequence(F.lit(0), F.least(F.lit(TRIED), F.size(g)) - 1), lambda k: F.get(g, F.floor(k * F.size(g) / F.least(F.lit(TRIED), F.size(g))).cast("int")))
+    tried = wanted.withColumn("gram", F.explode(F.array_distinct(let(all_of, spaced))))
+    kinds = [(r["loose"], r["size"]) for r in wanted.select("loose", "size").distinct().collect()]  # two forms of up to GRAM sizes
+
+    def having(wanted_grams: DataFrame) -> DataFrame:
+        side, parts = small_side(wanted_grams), []
+        for form in sorted({k for k, _ in kinds}):
+            text = folded(F.col(text_col))
+            own = F.flatten(F.array(*[grams(bare(text) if form else text, n) for k, n in kinds if k == form]))
+            parts.append(texts.select(*keys, F.lit(form).alias("loose"), F.explode(F.array_distinct(own)).alias("gram")))
+        if not parts:
+            parts = [texts.select(*keys, F.lit(False).alias("loose"), F.lit("").alias("gram")).where(F.lit(False))]
+        return reduce(DataFrame.unionByName, parts).join(side, ["loose", "gram"])
+
+    counts = having(tried.select("loose", "gram").distinct()).groupBy("loose", "gram").agg(F.count("*").alias("n"))
+    rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")
+    chosen = tried.join(counts, ["loose", "gram"], "left").groupBy("pii_type", "value", "slot", "rx", "loose").agg(F.min(rarity).alias("key"))
+    chosen = chosen.where("key.n > 0").select("loose", F.col("key.gram").alias("gram"), "pii_type", "value", "slot", "rx")
+    return having(chosen).select(*keys, "pii_type", "value", "slot", "rx")
+
+
+def _possible(text_col: str) -> Column:
+    """A cheap test before a value's pattern."""
+    return F.col("pii_type").isin(SEPARATOR_INSENSITIVE) | F.contains(folded(F.col(text_col)), folded(trimmed(F.col("value"))))
 
 
 def known_matches(texts: DataFrame, known: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     """Rows (keys, start, end, pii_type, slot, text): known values (pii_type, value, slot) found
     in texts; of overlapping ones the longest stays, then the first."""
     tried = texts.join(known_candidates(texts, known, text_col, keys), keys)
-    there = F.col("pii_type").isin(SEPARATOR_INSENSITIVE) | F.contains(F.lower(text_col), F.lower("value"))
-    hits = F.when(there, find_all(F.col(text_col), F.col("rx")))
+    hits = F.when(_possible(text_col), find_all(F.col(text_col), F.col("rx")))
     rows = tried.select(*keys, "pii_type", "slot", hits.alias("hits")).where(F.size("hits") > 0).select(*keys, "pii_type", "slot", F.inline("hits"))
     ranked = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("longest"), "start", "end", "pii_type", "slot", "text")))
     return rows.groupBy(*keys).agg(fold_non_overlap(ranked).alias("m")).select(*keys, F.inline("m")).drop("longest")
 
 
-def holding_known(texts: DataFrame, known: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
-    """The keys of texts that hold any known value: no place of it is looked for."""
+def known_pairs(texts: DataFrame, known: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
+    """Rows (keys, pii_type, slot): which values each text holds; no place of them is looked for."""
     tried = texts.join(known_candidates(texts, known, text_col, keys), keys)
-    there = F.col("pii_type").isin(SEPARATOR_INSENSITIVE) | F.contains(F.lower(text_col), F.lower("value"))
-    return tried.where(there & F.regexp_like(F.col(text_col), F.col("rx"))).select(*keys).distinct()
+    return tried.where(_possible(text_col) & F.regexp_like(F.col(text_col), F.col("rx"))).select(*keys, "pii_type", "slot").distinct()
+
+
+def holding_known(texts: DataFrame, known: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
+    """The keys of texts that hold any known value."""
+    return known_pairs(texts, known, text_col, keys).select(*keys).distinct()
+
+
+def swept(texts: DataFrame, known: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
+    """``texts`` with spans: known values, then shapes, then labelled values, none overlapping
+    (``sensitive_spans``)."""
+    found = known_matches(texts, known, text_col, keys).groupBy(*keys).agg(F.collect_list(F.struct("start", "end", "pii_type")).alias("__known"))
+    return texts.join(found, keys, "left").withColumn("spans", sensitive_spans(F.col(text_col), F.col("__known"))).drop("__known")
 
 
 URL = r"(?i)https?://[^\s\"'<>]+"
@@ -162,13 +218,17 @@ def sanitize_urls(text: Column) -> Column:
     return F.when(text.rlike("(?i)https?://"), replace_spans(text, spans)).otherwise(text)
 
 
-def sensitive_spans(text: Column) -> Column:
-    """Shapes and labelled values together: shapes go first, then the longer span, then the
-    first; none overlap. array of struct(start, end, pii_type, source)."""
+def sensitive_spans(text: Column, known: Column | None = None) -> Column:
+    """Known values (array of struct(start, end, pii_type), may be null), shapes and labelled values
+    together: in this order, then the longer span, then the first; none overlap. array of
+    struct(start, end, pii_type, source)."""
     ranked = lambda m, source, rank: F.struct(
         F.lit(rank).alias("rank"), (m["start"] - m["end"]).alias("longest"), m["start"].alias("start"), m["end"].alias("end"), m["pii_type"].alias("pii_type"), F.lit(source).alias("source")
     )
     both = F.concat(F.transform(find_patterns(text), lambda m: ranked(m, "pattern", 1)), F.transform(labelled_matches(text), lambda m: ranked(m, "label", 2)))
+    if known is not None:
+        own = F.transform(known, lambda m: ranked(m, "known_value", 0))
+        both = F.concat(F.coalesce(own, F.filter(both, lambda m: F.lit(False))), both)
     kept = let(F.array_sort(both), fold_non_overlap)
     return F.array_sort(F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["pii_type"].alias("pii_type"), m["source"].alias("source"))))
 

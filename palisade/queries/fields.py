@@ -116,6 +116,18 @@ def leaking_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_text.holding_known(docs, passages(spark, sf_dir), "text", ["doc_id"])
 
 
+_PHRASE = """SELECT 'p' || item_id AS slot, value, '(?i)' || CASE WHEN regexp_matches(value, '^[A-Za-z0-9_]') THEN '\\b' ELSE '' END || regexp_escape(value)
+    || CASE WHEN regexp_matches(value, '[A-Za-z0-9_]$') THEN '\\b' ELSE '' END AS rx
+  FROM (SELECT item_id, array_to_string(list_filter(string_split_regex(text, '[ \\n]+'), lambda w: w <> '')[2:3], ' ') AS value FROM benchmark)"""
+
+
+@query(f"SELECT DISTINCT doc_id, slot FROM documents JOIN ({_PHRASE}) AS p ON length(value) >= 5 AND regexp_matches(text, rx)")
+def known_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold which short known values, accents and all: two words of each passage."""
+    words = F.filter(F.split("text", "[ \\n]+"), lambda w: w != "")
+    known = table(spark, sf_dir, "benchmark").select(F.lit("person_name").alias("pii_type"), F.array_join(F.slice(words, 2, 2), " ").alias("value"), F.concat(F.lit("p"), F.col("item_id")).alias("slot"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return detect_text.known_pairs(docs, known, "text", ["doc_id"]).select("doc_id", "slot").distinct()
 
 
 @query()
