@@ -25,6 +25,7 @@ from ..taxonomy import (
     PatternRule,
 )
 
+_FOUND = "array<struct<start:int,end:int,pii_type:string,confidence:double,text:string,rule:int>>"
 _MATCH = "array<struct<rule:int,pii_type:string,confidence:double,start:int,end:int,text:string>>"
 
 
@@ -50,7 +51,10 @@ def rule_matches(text: Column, index: int, rule: PatternRule, context: Column |
     kept = F.transform(F.filter(found, holds), lambda m: F.struct(
         F.lit(index).alias("rule"), F.lit(rule.pii_type).alias("pii_type"), F.lit(rule.confidence).alias("confidence"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"),
     ))
-    possible = text.rlike(rule.guard) if rule.guard else reduce(lambda a, b: a | b, [s.rlike(near) for s in frames])
+    tests = [text.rlike(rule.guard)] if rule.guard else []
+    if near:
+        tests.append(reduce(lambda a, b: a | b, [s.rlike(near) for s in frames]))
+    possible = reduce(lambda a, b: a & b, tests)
     return F.when(possible, kept).otherwise(F.array().cast(_MATCH))
 
 
@@ -60,7 +64,11 @@ def find_patterns(text: Column, context: Column | None = None, rules: list[Patte
     # by rule, then start: matches of one rule are apart
     ordered = F.transform(every, lambda m: F.struct(*[m[c].alias(c) for c in ("rule", "start", "end", "pii_type", "confidence", "text")]))
     kept = let(ordered, lambda a: fold_non_overlap(F.array_sort(a)))
-    return F.array_sort(F.transform(kept, lambda m: F.struct(*[m[c].alias(c) for c in ("start", "end", "pii_type", "confidence", "text", "rule")])))
+    own = F.array_sort(F.transform(kept, lambda m: F.struct(*[m[c].alias(c) for c in ("start", "end", "pii_type", "confidence", "text", "rule")])))
+    if not all(r.guard for r in rules):
+        return own
+    # most texts have nothing that any rule needs: one test spares them all rules
+    return F.when(text.rlike("|".join(f"(?:{g})" for g in sorted({r.guard for r in rules}))), own).when(text.isNotNull(), F.array().cast(_FOUND))
 
 
 def labelled_matches(text: Column, rules=LABELLED_VALUES) -> Column:
@@ -91,8 +99,8 @@ def trimmed(value: Column) -> Column:
     return F.regexp_replace(value, f"\\A[{JAVA_SPACE}]+|[{JAVA_SPACE}]+\\z", "")
 
 
-#: Characters between those of a value whose separators are cosmetic, inside a class.
-_SEPARATORS = f"[{JAVA_SPACE}\\-/.()]"
+#: What may be left out of a value whose separators are cosmetic, and what may stand between its characters.
+_SEPARATORS, _BETWEEN = f"[{JAVA_SPACE}\\-/.()]", f"[{JAVA_SPACE}\\-/.]?"
 
 
 def search_pattern(pii_type: Column, value: Column) -> Column:
@@ -101,7 +109,7 @@ def search_pattern(pii_type: Column, value: Column) -> Column:
     with an ASCII word character. Case never counts, in any script. Null for values too short to search for."""
     own = trimmed(value)
     bare = F.regexp_replace(own, _SEPARATORS, "")
-    loose = F.array_join(F.transform(F.filter(F.split(bare, ""), lambda c: c != ""), escaped), _SEPARATORS + "?")
+    loose = F.array_join(F.transform(F.filter(F.split(bare, ""), lambda c: c != ""), escaped), _BETWEEN)
     edge = java(r"\b")
     exact = F.concat(
         F.when(own.rlike(r"\A[A-Za-z0-9_]"), F.lit(edge)).otherwise(F.lit("")), escaped(own), F.when(own.rlike(r"[A-Za-z0-9_]\z"), F.lit(edge)).otherwise(F.lit(""))
@@ -110,6 +118,15 @@ def search_pattern(pii_type: Column, value: Column) -> Column:
     return F.when(F.length(own) >= LEAST_SEARCHABLE, F.concat(F.lit("(?iu)"), rx))
 
 
+def search_length(pii_type: Column, value: Column) -> Column:
+    """How long a value's pattern is as it is usually written: the order in which patterns are used."""
+    own = trimmed(value)
+    bare = F.filter(F.split(F.regexp_replace(own, _SEPARATORS, ""), ""), lambda c: c != "")
+    loose = F.length(escaped(F.array_join(bare, ""))) + len(r"[\s\-/.]?") * (F.size(bare) - 1)
+    edges = own.rlike(r"\A[A-Za-z0-9_]").cast("int") + own.rlike(r"[A-Za-z0-9_]\z").cast("int")
+    return F.when(pii_type.isin(SEPARATOR_INSENSITIVE), loose).otherwise(F.length(escaped(own)) + len(r"\b") * edges)
+
+
 #: Code points of a gram, grams that a value is tried with, and bytes of a table that may be broadcast.
 GRAM, TRIED, BROADCAST_BYTES = 5, 8, 8 << 20
 

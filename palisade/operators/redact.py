@@ -110,3 +110,7 @@ def planned(findings: DataFrame, page: str, bounds: Column) -> DataFrame:
     paint = F.when(F.col("redaction") != "none", painted(F.col("rect"), bounds))
     return findings.withColumns({"replacement": replacement, "paint": paint})
 
+
+def ranked(findings: DataFrame, page: str) -> DataFrame:
+    """Findings with their rank on the page: the surest first, of equal ones the first found."""
+    return findings.withColumn("rank", F.row_number().over(Window.partitionBy(page).orderBy(F.desc("confidence"), "seq", "start")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import let
 from ..taxonomy import LEAST_SEARCHABLE
-from .detect_text import escaped, search_pattern
+from .detect_text import escaped, search_length, search_pattern, trimmed
 from .validate import type_of_handle
 
 # Lifetimes that are never offered, the slot of the provider's own key.
@@ -114,24 +114,30 @@ def offered(entries: DataFrame, origins: DataFrame) -> DataFrame:
 
 def substitutions(known: DataFrame) -> DataFrame:
     """known (grp, source, seq, pii_type, literal, token): by group the array of (pattern, replacement)
-    in order of use. Of a type's equal literals the first source counts. A token that
-    holds a literal is replaced by TYPE_n, also where it stands already. Longest pattern
-    first, rewritten tokens last."""
-    rows = known.withColumn("literal", F.trim("literal")).where(F.length("literal") >= LEAST_SEARCHABLE)
-    once = rows.groupBy("grp", "pii_type", "literal").agg(F.min_by("token", F.struct("source", "seq")).alias("token"), F.min(F.struct("source", "seq")).alias("at"))
-    once = once.withColumn("pattern", search_pattern(F.col("pii_type"), F.col("literal"))).where("pattern is not null")
-    all_of = once.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("at", "pii_type", "token", "pattern"))).alias("s"))
-    leaks = F.transform("s", lambda x: F.exists("s", lambda y: F.regexp_like(x["token"], y["pattern"])))
+    in order of use.
+
+    Sources in order are edits (0: of equal ones the last token counts), findings (1) and stored values (2;
+    they count where no earlier source has the type and literal). A token that holds any literal, looked for
+    as the token's own type is, is replaced by TYPE_n, n the number of such entries before; a token has one
+    replacement, its last entry's. Longest pattern first, then the tokens to be replaced where they stand already.
+    """
+    rows = known.withColumn("literal", trimmed(F.col("literal"))).where((F.length("literal") >= LEAST_SEARCHABLE) & ((F.col("source") > 0) | (F.col("token") != "")))
+    edit = F.when(F.col("source") == 0, F.col("seq"))
+    once = rows.groupBy("grp", "pii_type", "literal").agg(
+        F.min(F.struct("source", "seq")).alias("at"), F.coalesce(F.max_by("token", edit), F.min_by("token", F.struct("source", "seq"))).alias("token")
+    )
+    own = F.struct("at", "pii_type", "literal", "token", search_pattern(F.col("pii_type"), F.col("literal")).alias("pattern"), search_length(F.col("pii_type"), F.col("literal")).alias("length"))
+    all_of = once.groupBy("grp").agg(F.array_sort(F.collect_list(own)).alias("s"))
+    leaks = F.transform("s", lambda x: F.exists("s", lambda y: F.coalesce(F.regexp_like(x["token"], search_pattern(x["pii_type"], y["literal"])), F.lit(False))))
     marked = all_of.withColumn("leaks", leaks)
-
-    def replacement(x: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice("leaks", 1, i), lambda b: b))
-        return F.when(F.get("leaks", i), F.concat(F.upper(x["pii_type"]), F.lit("_"), before)).otherwise(x["token"])
-
-    own = marked.withColumn("own", F.transform("s", lambda x, i: F.struct((-F.length(x["pattern"])).alias("longest"), x["at"].alias("at"), x["pattern"].alias("pattern"), replacement(x, i).alias("replacement"), x["token"].alias("was"))))
-    rewrites = F.transform(F.filter("own", lambda x: x["was"] != x["replacement"]), lambda x: F.struct(F.concat(F.lit("(?i)"), escaped(x["was"])).alias("pattern"), x["replacement"].alias("replacement")))
-    plain = F.transform(F.array_sort("own"), lambda x: F.struct(x["pattern"].alias("pattern"), x["replacement"].alias("replacement")))
-    return own.select("grp", F.concat(plain, rewrites).alias("substitutions"))
+    named = lambda x, i: F.concat(F.upper(x["pii_type"]), F.lit("_"), F.size(F.filter(F.slice("leaks", 1, i), lambda b: b)))
+    unsafe = F.filter(F.transform("s", lambda x, i: F.struct(F.get("leaks", i).alias("leaks"), x["token"].alias("token"), named(x, i).alias("safe"))), lambda x: x["leaks"])
+    marked = marked.withColumn("unsafe", unsafe).withColumn("tokens", F.array_distinct(F.transform("unsafe", lambda x: x["token"])))
+    safe = lambda t: F.try_element_at(F.filter("unsafe", lambda u: u["token"] == t), F.lit(-1))["safe"]
+    plain = F.transform(F.filter("s", lambda x: x["pattern"].isNotNull()), lambda x: F.struct((-x["length"]).alias("longest"), x["at"].alias("at"), x["pattern"].alias("pattern"), F.coalesce(safe(x["token"]), x["token"]).alias("replacement")))
+    first = F.transform(F.array_sort(plain), lambda x: F.struct(x["pattern"].alias("pattern"), x["replacement"].alias("replacement")))
+    rewrites = F.transform("tokens", lambda t: F.struct(F.concat(F.lit("(?iu)"), escaped(t)).alias("pattern"), safe(t).alias("replacement")))
+    return marked.select("grp", F.concat(first, rewrites).alias("substitutions"))
 
 
 def scrubbed(text: Column, subs: Column) -> Column:

@@ -25,7 +25,7 @@ def flattened(frames: DataFrame, page: str, blocks: str) -> DataFrame:
 
 
 def lines(words: DataFrame, page: str = "page_id") -> DataFrame:
-    """(page, line, words, text, x, y, width, height, confidence): words by visual line. A
+    """(page, line, words, text, compact, x, y, width, height, confidence): words by visual line, joined by spaces and without. A
     word joins the line whose mean centre is nearest within reach, from the top down."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -49,11 +49,11 @@ def lines(words: DataFrame, page: str = "page_id") -> DataFrame:
         for j, m in enumerate(members):
             w = pdf.iloc[m].sort_values("x", kind="stable")
             x, y = w.x.min(), w.y.min()
-            out.append((pdf[page].iloc[0], j, len(w), " ".join(w.text), x, y, (w.x + w.width).max() - x, (w.y + w.height).max() - y, w.confidence.mean()))
-        return pd.DataFrame(out, columns=[page, "line", "words", "text", "x", "y", "width", "height", "confidence"])
+            out.append((pdf[page].iloc[0], j, len(w), " ".join(w.text), "".join(w.text), x, y, (w.x + w.width).max() - x, (w.y + w.height).max() - y, w.confidence.mean()))
+        return pd.DataFrame(out, columns=[page, "line", "words", "text", "compact", "x", "y", "width", "height", "confidence"])
 
     kind = dict(words.dtypes)[page]
-    return words.groupBy(page).applyInPandas(one, f"{page} {kind}, line int, words int, text string, x double, y double, width double, height double, confidence double")
+    return words.groupBy(page).applyInPandas(one, f"{page} {kind}, line int, words int, text string, compact string, x double, y double, width double, height double, confidence double")
 
 
 def crops(regions: DataFrame, page: str = "page_id") -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.spans import let, replace_spans
-from ..operators import detect_text, fields, redact
+from ..operators import detect_text, fields, packet, redact
 from ..sources import pages
+from ..sources.stored import stored
 from ..taxonomy import POLICIES
 
 #: The flow layout that stands in for geometry, and the viewport.
@@ -46,40 +46,58 @@ def detections(rows: DataFrame) -> DataFrame:
     return patterns.unionByName(structural)
 
 
-def findings(html: DataFrame) -> DataFrame:
-    """Fused detections at or above their type's threshold, with mode, paint and replacement."""
-    found = redact.fused(detections(laid_out(html)).withColumn("conflicting", F.lit(False)), ["page_id", "pii_type", "element_id", "field", "start", "end"])
+def found_in(rows: DataFrame) -> DataFrame:
+    """Fused detections of elements at or above their type's threshold, with mode, paint and replacement."""
+    found = redact.fused(detections(rows).withColumn("conflicting", F.lit(False)), ["page_id", "pii_type", "element_id", "field", "start", "end"])
     kept = found.where(F.col("confidence") >= _policy("threshold", 1.0)).withColumn("redaction", redact.resolve_mode(F.lit(None).cast("string"), _policy("redaction", "placeholder"), _policy("never_blur", True)))
     return redact.planned(kept, "page_id", g.rect(*map(F.lit, (0, 0, VIEW_W, VIEW_H))))
 
 
-def packets(html: DataFrame) -> DataFrame:
-    """(page_id, packet, n_nodes, n_findings, coverage, verdict, withheld): what may leave a
-    page as JSON. Only named columns go in; a text that still holds a found value is emptied."""
-    rows = laid_out(html)
-    found = findings(html)
-    edits = found.where("start is not null and replacement is not null").groupBy("page_id", "element_id", "field").agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("edits"))
-    whole = found.where("start is null and replacement is not null").groupBy("page_id", "element_id", "field").agg(F.min("replacement").alias("instead"))
-    texts = rows.where("not hidden").select("page_id", "element_id", "n", "role", "interactive", "editable", "disabled", F.stack(F.lit(2), F.lit("text"), "own_text", F.lit("name"), "name").alias("field", "body"))
-    texts = texts.join(edits, ["page_id", "element_id", "field"], "left").join(whole, ["page_id", "element_id", "field"], "left")
-    said = F.when(F.col("instead").isNotNull(), F.col("instead")).when(F.col("edits").isNotNull(), let(F.col("edits"), lambda e: replace_spans(F.col("body"), e))).otherwise(F.col("body"))
-    # the last sweep: literals found anywhere on the page
-    literals = found.where("length(matched_text) >= 5").groupBy("page_id").agg(F.collect_set(F.lower("matched_text")).alias("literals"))
-    swept = texts.withColumn("said", said).join(literals, "page_id", "left")
-    leaks = F.coalesce(F.exists("literals", lambda v: F.contains(F.lower("said"), v)), F.lit(False))
-    swept = swept.withColumns({"leaks": leaks, "said": F.when(leaks, F.lit("")).otherwise(F.col("said"))})
-    nodes = swept.groupBy("page_id", "element_id", "n", "role", "interactive", "editable", "disabled").agg(
-        F.max(F.when(F.col("field") == "name", F.col("said"))).alias("name"), F.max(F.when(F.col("field") == "text", F.col("said"))).alias("text"), F.count_if("leaks").alias("withheld")
-    ).where("interactive or name <> '' or text <> ''")
-    listed = nodes.groupBy("page_id").agg(
-        F.sort_array(F.collect_list(F.struct("n", F.col("element_id").alias("id"), "role", "name", "text", "interactive", "editable", "disabled"))).alias("nodes"), F.count("*").alias("n_nodes"), F.sum("withheld").alias("withheld")
+def findings(html: DataFrame) -> DataFrame:
+    """``found_in`` the elements of pages."""
+    return found_in(stored(laid_out(html), "elements"))
+
+
+def titles(html: DataFrame) -> DataFrame:
+    """(page_id, title) of each page, white space as one space."""
+    said = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return html.select("page_id", F.trim(F.regexp_replace(said, r"\s+", " ")).alias("title"))
+
+
+def packets(html: DataFrame, vault: DataFrame | None = None, with_text: bool = True) -> DataFrame:
+    """(page_id, packet, bytes, n_nodes, n_findings, coverage, verdict, withheld): what may leave a
+    page as JSON. Only named columns go in; texts are edited where something was found, swept of
+    every literal known on the page, and withheld if one is left. vault: (page_id, seq, pii_type, value, slot).
+
+    Elements and findings are written once: the sweep, the last check, areas and counts all read them."""
+    rows = stored(laid_out(html), "elements")
+    found = stored(found_in(rows), "findings")
+    vault = found.sparkSession.createDataFrame([], "page_id long, seq long, pii_type string, value string, slot string") if vault is None else vault
+    nodes = rows.select(
+        "page_id", "element_id", "n", "role", "name", F.nullif("own_text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("problem"), F.lit(None).cast("array<string>").alias("options"),
+        "hidden", "interactive", "editable", "disabled", "rect", (F.col("editable") & (F.trim("value") != "")).alias("filled"),
     )
+    own, title, withheld, offers = packet.built(nodes, titles(html), found, vault, with_text)
+    box = F.transform(F.array(*[F.col(f"rect.{c}") for c in ("x", "y", "width", "height")]), lambda v: F.floor(v + 0.5))
+    flag = lambda c: F.when(F.col(c), True).alias(c)
+    node = F.struct("n", F.col("element_id").alias("id"), "role", "name", box.alias("rect"), "interactive", "editable", flag("disabled"), flag("filled"), "text", flag("sensitive"), flag("suspect"))
+    listed = own.groupBy("page_id").agg(F.sort_array(F.collect_list(node)).alias("nodes"), F.count("*").alias("n_nodes"))
+    gone = withheld.groupBy("page_id").agg(F.count("*").alias("withheld"))
     paints = found.where("paint is not null").select("page_id", F.col("paint").alias("r"))
     areas = redact.union_areas(paints, "page_id")
-    counts = found.groupBy("page_id").agg(F.count("*").alias("n_findings"), F.count_if(F.col("paint").isNull()).alias("skipped"))
+    counts = found.groupBy("page_id").agg(F.count("*").alias("n_findings"))
+    bottom = rows.groupBy("page_id").agg(F.max(g.bottom(F.col("rect"))).alias("bottom"))
     cover = redact.coverage(F.coalesce("area", F.lit(0.0)), F.lit(float(VIEW_W)), F.lit(float(VIEW_H)))
-    out = html.select("page_id", "url").join(listed, "page_id", "left").join(areas, "page_id", "left").join(counts, "page_id", "left").withColumn("coverage", cover)
-    body = F.to_json(F.struct(F.lit(1).alias("schema_version"), pages.origin(F.col("url")).alias("origin"), "nodes", F.round("coverage", 4).alias("coverage")))
-    return out.select("page_id", body.alias("packet"), F.octet_length(body).alias("bytes"), F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
-                      "coverage", redact.verdict(F.col("coverage")).alias("verdict"), F.coalesce("withheld", F.lit(0)).alias("withheld"))
-
+    out = html.select("page_id", "url")
+    for part in (title, listed, areas, counts, gone, offers, bottom):
+        out = out.join(part, "page_id", "left")
+    out = out.withColumn("coverage", cover)
+    low = F.coalesce("bottom", F.lit(0.0))
+    body = F.to_json(F.struct(
+        F.lit(1).alias("schema_version"), pages.origin(F.col("url")).alias("origin"), F.coalesce("title", F.lit("")).alias("title"), F.struct(F.lit(VIEW_W).alias("width"), F.lit(VIEW_H).alias("height")).alias("viewport"),
+        F.struct(F.lit(0).alias("y"), F.floor(F.greatest(F.lit(float(VIEW_H)), low) + 0.5).alias("page_height"), (low > VIEW_H + 4).alias("more_below")).alias("scroll"),
+        F.transform("nodes", lambda x: x.dropFields("n")).alias("nodes"), "placeholders", F.round("coverage", 4).alias("coverage"),
+    ))
+    none = F.lit(0).cast("long")
+    return out.select("page_id", body.alias("packet"), F.octet_length(body).alias("bytes"), F.coalesce("n_nodes", none).alias("n_nodes"), F.coalesce("n_findings", none).alias("n_findings"),
+                      "coverage", redact.verdict(F.col("coverage")).alias("verdict"), F.coalesce("withheld", none).alias("withheld"))

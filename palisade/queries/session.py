@@ -221,12 +221,15 @@ def described_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.described(_findings(spark, sf_dir))
 
 
-@query(f"""SELECT grouping_id(d, pii_type)::INT AS by_what, coalesce(d, pii_type) AS name, count(*) AS n FROM (SELECT unnest(CASE WHEN len(detectors) = 0 THEN ['unknown'] ELSE detectors END) AS d, pii_type FROM ({_FIND})) GROUP BY GROUPING SETS ((d), (pii_type))""")
+@query(f"""
+  SELECT 1 AS by_what, d AS name, count(*) AS n FROM (SELECT unnest(CASE WHEN len(detectors) = 0 THEN ['unknown'] ELSE detectors END) AS d FROM ({_FIND})) GROUP BY d
+  UNION ALL SELECT 2, pii_type, count(*) FROM ({_FIND}) GROUP BY pii_type""")
 def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections by detector and by type, in one pass of grouping sets."""
-    rows = _findings(spark, sf_dir).select("pii_type", F.explode(F.when(F.size("detectors") == 0, F.array(F.lit("unknown"))).otherwise(F.col("detectors"))).alias("d"))
-    rows = rows.groupingSets([["d"], ["pii_type"]], "d", "pii_type").agg(F.count("*").alias("n"), F.grouping_id("d", "pii_type").cast("int").alias("by_what"))
-    return rows.select("by_what", F.coalesce("d", "pii_type").alias("name"), "n")
+    """Detections by detector, and findings by type (a finding of two detectors is one): one pass, each
+    finding as rows (kind, name) that are summed where they are."""
+    detectors = F.when(F.size("detectors") == 0, F.array(F.lit("unknown"))).otherwise(F.col("detectors"))
+    names = F.concat(F.transform(detectors, lambda d: F.struct(F.lit(1).alias("by_what"), d.alias("name"))), F.array(F.struct(F.lit(2).alias("by_what"), F.col("pii_type").alias("name"))))
+    return _findings(spark, sf_dir).select(F.inline(names)).groupBy("by_what", "name").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT grp, seq, row_number() OVER (PARTITION BY grp ORDER BY confidence DESC, seq)::INT AS place FROM ({_FIND})")

@@ -63,6 +63,7 @@ class _Walker(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.open: list[int] = []
+        self.said: list[int] = []  # of each row, characters of all its text but white space
         self.skipped: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -75,6 +76,7 @@ class _Walker(HTMLParser):
         own = {k: v or "" for k, v in attrs}
         up = self.rows[self.open[-1]] if self.open else None
         hidden = own.get("aria-hidden") == "true" or "hidden" in own
+        self.said.append(0)
         row = [len(self.rows), self.open[-1] if self.open else None, len(self.open), tag, own, [], [], bool(up and (up[7] or up[9])), bool(up and (up[8] or up[3] in SECTIONING)), hidden]
         self.rows.append(row)
         if tag not in VOID:
@@ -99,8 +101,13 @@ class _Walker(HTMLParser):
     def _text(self, data: str) -> None:
         if self.open:
             self.rows[self.open[-1]][5].append(data)
-        for k in self.open:
+        more = len("".join(data.split()))
+        # ancestors have at least what stands below them, so the first that has enough ends the climb
+        for k in reversed(self.open):
+            if self.said[k] >= TEXT_CAP:
+                break
             self.rows[k][6].append(data)
+            self.said[k] += more
 
     def handle_data(self, data: str) -> None:
         if not self.skipped:

@@ -92,19 +92,19 @@ PATTERN_RULES = [
     ),
     PatternRule(
         "api_key", r"\b[A-Za-z0-9][A-Za-z0-9._~+/=-]{15,511}\b", 0.88, False, "contextual_secret",
-        r"\b(?:api|access|secret|client|developer|subscription|signing)[\s_-]*(?:key|secret)\b|\bclient[\s_-]*id\b",
+        r"\b(?:api|access|secret|client|developer|subscription|signing)[\s_-]*(?:key|secret)\b|\bclient[\s_-]*id\b", guard=r"[A-Za-z0-9._~+/=-]{16}",
     ),
     PatternRule(
         "secret_token", r"\b[A-Za-z0-9][A-Za-z0-9._~+/=-]{15,511}\b", 0.88, False, "contextual_secret",
-        r"\b(?:access|refresh|auth(?:entication|orization)?|bearer|session|personal[\s_-]*access|webhook|csrf)[\s_-]*(?:token|secret|cookie|key)?\b|\b(?:token|session[\s_-]*id|cookie)\b",
+        r"\b(?:access|refresh|auth(?:entication|orization)?|bearer|session|personal[\s_-]*access|webhook|csrf)[\s_-]*(?:token|secret|cookie|key)?\b|\b(?:token|session[\s_-]*id|cookie)\b", guard=r"[A-Za-z0-9._~+/=-]{16}",
     ),
-    PatternRule("bank_account", r"\b\d{9,18}\b", 0.75, context=r"\b(?:a\/c|acc(?:oun)?t|bank)\b"),
-    PatternRule("roll_number", r"\b[A-Z0-9][A-Z0-9/-]{4,19}\b", 0.72, True, "portal_identifier", r"\b(?:roll|enrol(?:l)?ment|student\s*(?:id|no)|usn|prn)\b"),
-    PatternRule("registration_number", r"\b[A-Z0-9][A-Z0-9/-]{4,19}\b", 0.72, True, "portal_identifier", r"\b(?:regd?|registration|admission|application)\s*(?:no|num|number|id)?\b"),
-    PatternRule("date_of_birth", r"\b(?:0?[1-9]|[12]\d|3[01])[/\-.](?:0?[1-9]|1[0-2])[/\-.](?:19|20)\d{2}\b", 0.8, context=r"\b(?:d\.?o\.?b|date\s*of\s*birth|born|birth\s*date)\b"),
+    PatternRule("bank_account", r"\b\d{9,18}\b", 0.75, context=r"\b(?:a\/c|acc(?:oun)?t|bank)\b", guard=r"[0-9]{9}"),
+    PatternRule("roll_number", r"\b[A-Z0-9][A-Z0-9/-]{4,19}\b", 0.72, True, "portal_identifier", r"\b(?:roll|enrol(?:l)?ment|student\s*(?:id|no)|usn|prn)\b", guard=r"[0-9]"),
+    PatternRule("registration_number", r"\b[A-Z0-9][A-Z0-9/-]{4,19}\b", 0.72, True, "portal_identifier", r"\b(?:regd?|registration|admission|application)\s*(?:no|num|number|id)?\b", guard=r"[0-9]"),
+    PatternRule("date_of_birth", r"\b(?:0?[1-9]|[12]\d|3[01])[/\-.](?:0?[1-9]|1[0-2])[/\-.](?:19|20)\d{2}\b", 0.8, context=r"\b(?:d\.?o\.?b|date\s*of\s*birth|born|birth\s*date)\b", guard=r"[0-9][/.\-][0-9]"),
     PatternRule("vehicle_number", r"\b[A-Z]{2}[\s-]?\d{1,2}[\s-]?[A-Z]{1,3}[\s-]?\d{4}\b", 0.8, True, "vehicle_number", guard=r"[0-9]{4}"),
-    PatternRule("otp", r"\b\d{4,8}\b", 0.85, context=r"\b(?:otp|one[\s-]?time|verification\s*code|passcode|2fa|mfa)\b"),
-    PatternRule("cvv", r"\b\d{3,4}\b", 0.85, context=r"\b(?:cvv|cvc|csc|security\s*code|card\s*verification)\b"),
+    PatternRule("otp", r"\b\d{4,8}\b", 0.85, context=r"\b(?:otp|one[\s-]?time|verification\s*code|passcode|2fa|mfa)\b", guard=r"[0-9]{4}"),
+    PatternRule("cvv", r"\b\d{3,4}\b", 0.85, context=r"\b(?:cvv|cvc|csc|security\s*code|card\s*verification)\b", guard=r"[0-9]{3}"),
 ]
 
 #: Fixed value: characters on either side of a match in which its context word may stand.
