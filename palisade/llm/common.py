@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's spark.checkpoint.dir. Where that is unset (tests on one
-    machine) a folder beside the warehouse is set and used.
+    It is the session's spark.checkpoint.dir. Where that is unset, a session on one machine (tests)
+    sets and uses a folder beside its warehouse; on a cluster there is none that all would see.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or None
@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_palisade"
         if "://" not in path and not path.startswith("file:"):
             path = "file://" + path
