@@ -230,10 +230,13 @@ def download_outcomes(waits: DataFrame, events: DataFrame) -> DataFrame:
     """waits (k, at_ms); events (k, id, at_ms, kind: created, complete, interrupted): what a wait ends
     with. A download must begin within ``DISCOVERY_MS`` (or have begun); the first completed
     one ends the wait, else the first failed one, else time does, as failed."""
-    began = F.min(F.when(F.col("kind") == "created", F.col("e_ms")))
     rows = waits.join(events.withColumnRenamed("at_ms", "e_ms"), "k", "left")
-    by_id = rows.groupBy("k", "id", "at_ms").agg(began.alias("began"), F.min(F.when(F.col("kind") == "complete", F.col("e_ms"))).alias("done"), F.min(F.when(F.col("kind") == "interrupted", F.col("e_ms"))).alias("lost"))
-    seen = by_id.withColumns({c: F.when(F.col(c) >= F.col("began"), F.col(c)) for c in ("done", "lost")})
+    began = F.min(F.when(F.col("kind") == "created", F.col("e_ms"))).over(Window.partitionBy("k", "id"))
+    # what is said of a download before it exists doesn't count; a later word on it does
+    counts = F.col("e_ms") >= F.col("began")
+    seen = rows.withColumn("began", began).groupBy("k", "id", "at_ms", "began").agg(
+        F.min(F.when((F.col("kind") == "complete") & counts, F.col("e_ms"))).alias("done"), F.min(F.when((F.col("kind") == "interrupted") & counts, F.col("e_ms"))).alias("lost")
+    )
     found = seen.groupBy("k", "at_ms").agg(F.min("began").alias("began"), F.min("done").alias("done"), F.min("lost").alias("lost"))
     start = F.greatest("began", "at_ms")
     end = start + COMPLETION_MS

@@ -10,6 +10,7 @@ from ..operators import detect_text, fields
 from ..sources.derived import id_candidates, spread, table
 from ..taxonomy import AUTOCOMPLETE, AUTOCOMPLETE_CONFIDENCE, INPUT_CONFIDENCE, INPUT_TYPES, LABEL_RULES, PASSWORD_INPUT_CONFIDENCE, SEPARATOR_INSENSITIVE
 from .registry import Registry
+from .store import _ENTRY_SQL, entries
 
 query = Registry()
 
@@ -139,10 +140,11 @@ def separated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("k", "pii_type", F.size(hits).alias("hits"), F.get(hits, F.lit(0))["end"].alias("end"))
 
 
-@query("SELECT pii_type, separators_ignored FROM (VALUES " + ", ".join(f"('{t}', true)" for t in SEPARATOR_INSENSITIVE) + ") AS t(pii_type, separators_ignored)")
+@query(f"SELECT pii_type, pii_type IN ({', '.join(sql(t) for t in SEPARATOR_INSENSITIVE)}) AS separators_ignored, count(*) AS entries FROM ({_ENTRY_SQL}) GROUP BY pii_type")
 def separator_insensitive_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types whose separators are cosmetic."""
-    return spark.createDataFrame([(t, True) for t in SEPARATOR_INSENSITIVE], "pii_type string, separators_ignored boolean")
+    """Stored entries by type, and whether the type's separators are cosmetic."""
+    counts = entries(spark, sf_dir).groupBy("pii_type").agg(F.count("*").alias("entries"))
+    return counts.withColumn("separators_ignored", F.col("pii_type").isin(list(SEPARATOR_INSENSITIVE)))
 
 
 QUERIES, ORACLE = query.queries, query.oracle

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import session
 from ..sources.derived import table
 from ..taxonomy import POLICIES
+from .fields import SIGNALS_SQL, _signals, field_rows
 from .registry import Registry
 
 query = Registry()
@@ -288,8 +289,8 @@ def bad_reply_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
   WITH w AS (SELECT o_orderkey AS k, 1000 AS at_ms FROM orders),
   e AS (SELECT l_orderkey AS k, l_linenumber AS id, unnest([{'kind': 'created', 'ms': (l_partkey % 50) * 100}, {'kind': CASE WHEN l_suppkey % 4 = 0 THEN 'interrupted' ELSE 'complete' END, 'ms': (l_partkey % 50) * 100 + (l_suppkey % 70) * 1000 - 500}], recursive := true) FROM lineitem),
-  i AS (SELECT k, id, min(ms) FILTER (kind = 'created') AS began, min(ms) FILTER (kind = 'complete') AS done, min(ms) FILTER (kind = 'interrupted') AS lost FROM e GROUP BY k, id),
-  f AS (SELECT w.k, at_ms, min(began) AS began, min(done) FILTER (done >= began) AS done, min(lost) FILTER (lost >= began) AS lost FROM w LEFT JOIN i USING (k) GROUP BY w.k, at_ms),
+  i AS (SELECT *, min(ms) FILTER (kind = 'created') OVER (PARTITION BY k, id) AS began FROM e),
+  f AS (SELECT w.k, at_ms, min(began) AS began, min(ms) FILTER (kind = 'complete' AND ms >= began) AS done, min(ms) FILTER (kind = 'interrupted' AND ms >= began) AS lost FROM w LEFT JOIN i USING (k) GROUP BY w.k, at_ms),
   s AS (SELECT *, greatest(began, at_ms) AS start FROM f)
   SELECT k, CASE WHEN began IS NULL OR began >= at_ms + 3000 THEN 'none' WHEN done < start + 60000 AND (lost IS NULL OR greatest(done, start) <= greatest(lost, start)) THEN 'complete' ELSE 'failed' END AS outcome FROM s""")
 def download_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,12 +346,11 @@ def line_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-  WITH s AS ({{signals}}) SELECT k, arg_min(pii_type, (-confidence, evidence)) AS pii_type FROM s WHERE confidence >= 0.5 GROUP BY k""".replace("{signals}", "SELECT * FROM (VALUES (1, 'input', 'phone', 0.9), (1, 'label', 'email', 0.9), (2, 'label', 'pan', 0.4), (3, 'autocomplete', 'otp', 0.5), (3, 'input', 'cvv', 0.45)) AS t(k, evidence, pii_type, confidence)"))
+  SELECT k, arg_min(pii_type, (-confidence, CASE evidence WHEN 'input' THEN 0 WHEN 'autocomplete' THEN 1 ELSE 2 END)) AS pii_type
+  FROM ({SIGNALS_SQL}) WHERE confidence >= 0.5 GROUP BY k""")
 def wanted_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a field asks for, by its strongest signal."""
-    rows = spark.createDataFrame([(1, "input", "phone", 0.9), (1, "label", "email", 0.9), (2, "label", "pan", 0.4), (3, "autocomplete", "otp", 0.5), (3, "input", "cvv", 0.45)], "k int, evidence string, pii_type string, confidence double")
-    own = rows.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("evidence", "pii_type", "confidence"))), lambda s: F.struct(s["pii_type"].alias("pii_type"), s["confidence"].alias("confidence"))).alias("s"))
-    return own.select("k", session.strongest(F.col("s")).alias("pii_type")).where("pii_type is not null")
+    """What each field asks for, by its strongest signal."""
+    return field_rows(spark, sf_dir).select("k", session.strongest(_signals()).alias("pii_type")).where("pii_type is not null")
 
 
 QUERIES, ORACLE = query.queries, query.oracle

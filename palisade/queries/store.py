@@ -58,10 +58,13 @@ def values_by_lifetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.rollup("lifetime").agg(F.count("*").alias("n"), F.count_distinct("owner").alias("owners")).select(F.coalesce("lifetime", F.lit("all")).alias("lifetime"), "n", "owners")
 
 
-@query(f"SELECT pii_type, lifetime, redaction, threshold, never_blur, confirm, CASE WHEN never_blur THEN 'mask_solid' ELSE 'blur' END AS blurred FROM {_POLICY_SQL}")
+@query(f"""
+  SELECT pii_type, lifetime, redaction, threshold, never_blur, confirm, CASE WHEN never_blur THEN 'mask_solid' ELSE 'blur' END AS blurred, count(*) AS entries
+  FROM ({_ENTRY_SQL}) JOIN {_POLICY_SQL} USING (pii_type) GROUP BY ALL""")
 def policy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The policies, and what a request to blur becomes."""
-    return policies(spark).withColumn("blurred", redact.resolve_mode(F.lit("blur"), F.col("redaction"), F.col("never_blur")))
+    """The policies that stored entries fall under, what a request to blur becomes, and how many they are."""
+    counts = entries(spark, sf_dir).groupBy("pii_type").agg(F.count("*").alias("entries"))
+    return counts.join(F.broadcast(policies(spark)), "pii_type").withColumn("blurred", redact.resolve_mode(F.lit("blur"), F.col("redaction"), F.col("never_blur")))
 
 
 _GOALS = ["fill the admission form", "show my attendance for march", "download the fee receipt of march", "update phone number", "check exam results"]

@@ -180,10 +180,15 @@ def findings_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT pii_type, rule, confidence, needs_context FROM (VALUES " + ", ".join(f"('{r.pii_type}', {i}, {r.confidence}::DOUBLE, {str(bool(r.context)).lower()})" for i, r in enumerate(PATTERN_RULES)) + ") AS t(pii_type, rule, confidence, needs_context)")
+_RULES_SQL = "(VALUES " + ", ".join(f"('{r.pii_type}', {i}, {r.confidence}::DOUBLE, {str(bool(r.context)).lower()})" for i, r in enumerate(PATTERN_RULES)) + ") AS t(pii_type, rule, confidence, needs_context)"
+
+
+@query("WITH " + pattern_ctes(_TEXTS_SQL) + f", n AS (SELECT rule, count(*) AS matches FROM accepted GROUP BY rule) SELECT pii_type, t.rule, confidence, needs_context, coalesce(matches, 0) AS matches FROM {_RULES_SQL} LEFT JOIN n ON n.rule = t.rule")
 def pattern_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules as a table (22 rows)."""
-    return spark.createDataFrame([(r.pii_type, i, r.confidence, bool(r.context)) for i, r in enumerate(PATTERN_RULES)], "pii_type string, rule int, confidence double, needs_context boolean")
+    """Each rule, and how many matches it has in documents and conversations."""
+    rules = spark.createDataFrame([(r.pii_type, i, r.confidence, bool(r.context)) for i, r in enumerate(PATTERN_RULES)], "pii_type string, rule int, confidence double, needs_context boolean")
+    counts = _spans(texts(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("matches"))
+    return rules.join(counts, "rule", "left").select("pii_type", "rule", "confidence", "needs_context", F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
 # ---- labelled values -----------------------------------------------------------------------------

@@ -8,13 +8,13 @@ place, the number of the stay, and counts of proposals.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.loops import HINT_HERE, HINT_PLACE, SKIP_HERE, SKIP_PLACE, STOP_HERE, STOP_PLACE
+from ..sources.stored import shared_folder
 
 _OUT = "event_id long, moved boolean, visit long, here long, there long, tier string"
 
@@ -54,8 +54,7 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that the source has now, through the stream, as a table: files and checkpoint
     stand in the folder that driver and executors share."""
     spark: SparkSession = stream.sparkSession
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/_streams"
-    at = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = shared_folder(spark, name)
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows")
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")

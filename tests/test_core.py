@@ -139,3 +139,16 @@ def test_routes_of_all_orders(spark, tmp_path):
     left.sort(key=lambda r: (-r["saved_at"], r["route"]))
     got = [(r.place, r.route, r.steps) for r in QUERIES["remembered_routes"](spark, str(tmp_path)).orderBy("place").collect()]
     assert got == [(n + 1, r["route"], min(r["steps"], 24)) for n, r in enumerate(left[:40])]
+
+
+def test_downloads_and_stray_events(spark):
+    from palisade.operators.session import download_outcomes
+
+    cases = {
+        1: ([("a", 500, "complete"), ("a", 1500, "created"), ("a", 2500, "complete")], "complete"), 2: ([("a", 500, "complete"), ("a", 1500, "created")], "failed"),
+        3: ([], "none"), 4: ([("a", 4000, "created"), ("a", 4100, "complete")], "none"), 5: ([("a", 10, "created"), ("a", 20, "interrupted"), ("b", 30, "created"), ("b", 900, "complete")], "complete"),
+        6: ([("a", 1100, "created"), ("a", 1200, "interrupted"), ("b", 1150, "created"), ("b", 1300, "complete")], "failed"), 7: ([("a", 1100, "created"), ("a", 70_000, "complete")], "failed"),
+    }
+    waits = spark.createDataFrame([(k, 1000) for k in cases], "k long, at_ms long")
+    events = spark.createDataFrame([(k, *e) for k, (es, _) in cases.items() for e in es], "k long, id string, at_ms long, kind string")
+    assert {r.k: r.outcome for r in download_outcomes(waits, events).collect()} == {k: o for k, (_, o) in cases.items()}
