@@ -448,13 +448,24 @@ def test_registered_queries_have_their_columns(spark, docs, tmp_path):
         "op8": "page_id bigint, url string, text string, n_chars bigint",
         "op9": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
         "op10": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+        "op11": "lang string, source string, part string, item string, value bigint, rank int",
+        "op12": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+        "op13": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
     }
+    talks = [(1, 0, "user", "Hi."), (1, 1, "assistant", "Yes."), (None, None, None, None)]
+    spark.createDataFrame(talks, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    sources = docs.select("lang", "source").distinct().count()
     for name, query in QUERIES.items():
         found = query(spark, str(tmp_path))
         op = name.split("_")[0]
         assert ", ".join(f"{c} {t}" for c, t in found.dtypes) == want[op], name
         rows = found.collect()
-        assert len(rows) == (2 if op == "op8" else n), name
+        if op == "op12":
+            assert sum(r.piece == 0 for r in rows) == n
+        else:
+            # of op11 each source's pairs with the others of the only language, and terms
+            least = {"op8": 2, "op13": 2, "op11": sources * (sources - 1)}.get(op, n)
+            assert len([r for r in rows if op != "op11" or r.part == "pair"]) == least, name
         if op == "op1":
             assert all(len(r.fingerprint) == 16 and r.fingerprint == r.fingerprint.lower() for r in rows)
         if op == "op7":
