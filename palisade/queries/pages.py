@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import java, re2, sql
+from ..operators import naming
 from ..plans import audit
 from ..sources import pages
 from ..sources.derived import table
@@ -43,6 +44,60 @@ def link_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.elements(table(spark, sf_dir, "pages")).where("role = 'link' and name <> ''").groupBy("name").agg(F.count("*").alias("n"))
 
 
+_LIS = f"regexp_extract_all({_BODY}, '<li><a href=\"[^\"]*\">[^<]+</a>')"
+_PARAGRAPHS = "regexp_extract_all(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>[^<]*[^< \\t\\r\\n][^<]*')"
+_PARENTS = {
+    ("link", "listitem"): _LIS, ("listitem", "list"): f"regexp_extract_all({_BODY}, '<li>')", ("list", "navigation"): f"regexp_extract_all({_BODY}, '<nav><ul>')",
+    ("navigation", "none"): f"regexp_extract_all({_BODY}, '<nav>')", ("article", "none"): f"regexp_extract_all({_BODY}, '<article>')",
+    ("heading", "article"): f"regexp_extract_all({_BODY}, '<article><h1>')", ("contentinfo", "none"): f"regexp_extract_all({_BODY}, '<footer>')", ("paragraph", "article"): _PARAGRAPHS,
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{r}' AS role, '{p}' AS parent, sum(len({found}))::BIGINT AS n, count(*) FILTER (WHERE len({found}) > 0) AS pages FROM pages" for (r, p), found in _PARENTS.items()))
+def parent_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often an element of a role stands right below one of another, on all pages; a parent is
+    the nearest element above that has a row."""
+    rows = naming.elements(table(spark, sf_dir, "pages")).select("page_id", "n", "parent", "role").where(F.col("role") != "generic")
+    up = rows.select("page_id", F.col("n").alias("parent"), F.col("role").alias("above"))
+    return rows.join(up, ["page_id", "parent"], "left").groupBy("role", F.coalesce("above", F.lit("none")).alias("parent")).agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
+
+
+#: Each link of a page's menu as a form: a field named by three references (one of them to nothing) that the page
+#: refuses, a choice inside its label, and a button with an image and a word that readers don't hear.
+_LINK = r'<a href="/[^"]*">([^<]*)</a>'
+_FORM = (
+    r'<form><em id="t-$1">$1</em><p id="e-$1">No <b>$1</b>.</p><input name="f-$1" required aria-invalid="true" aria-labelledby="t-$1 nowhere h" aria-errormessage="e-$1">'
+    r'<label>Pick<select name="s-$1"><option>$1<option selected>Not $1</select></label><button name="b-$1">Send <i aria-hidden="true">now</i><img alt="$1"></button></form>'
+)
+
+
+def with_forms(html: DataFrame) -> DataFrame:
+    """Pages whose menu links are forms."""
+    return html.select("page_id", F.regexp_replace(F.regexp_replace("html", _LINK, _FORM), "<h1>", '<h1 id="h">').alias("html"))
+
+
+_ROW = "page_id, form_id"
+_FLAT = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+
+
+@query(f"""
+  WITH p AS (
+    SELECT page_id, {_FLAT.format("regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")} AS h, regexp_extract_all(html, {sql(_LINK)}, 1) AS links FROM pages),
+  q AS (SELECT page_id, replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS h, links, unnest(range(1, len(links) + 1)) AS form_id FROM p),
+  f AS (SELECT page_id, form_id, h, links[form_id] AS t FROM q)
+  SELECT {_ROW}, 'f-' || t AS field_name, 'form' AS above, substr(trim(t || ' ' || h), 1, 300) AS name, true AS required, 'No ' || t || '.' AS message, NULL AS value, NULL AS options FROM f
+  UNION ALL SELECT {_ROW}, 's-' || t, 'label', 'Pick ' || t || ' Not ' || t, false, NULL, 'Not ' || t, t || '|Not ' || t FROM f
+  UNION ALL SELECT {_ROW}, 'b-' || t, 'form', 'Send ' || t, false, NULL, NULL, NULL FROM f""")
+def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Controls of all forms: their form, the tag above, their name by reference, wrapping label or content, what
+    the page says against them, their choices."""
+    rows = naming.elements(with_forms(table(spark, sf_dir, "pages"))).select("page_id", "n", "parent", "tag", "form_id", "field_name", "name", "required", "message", "value", "options")
+    up = rows.select("page_id", F.col("n").alias("parent"), F.col("tag").alias("above"))
+    return rows.where(F.col("tag").isin("input", "select", "button")).join(up, ["page_id", "parent"], "left").select(
+        "page_id", F.col("form_id").cast("long").alias("form_id"), "field_name", "above", "name", "required", "message", "value", F.array_join("options", "|").alias("options"),
+    )
+
+
 @query()
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every element row of every page (structure of the walker: tested on fixtures)."""
