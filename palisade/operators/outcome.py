@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 from .detect_text import sanitized
 from .loops import expects_change
 
@@ -70,7 +71,8 @@ def outcomes(elements: DataFrame, steps: DataFrame) -> DataFrame:
     that was typed into), a new message, nothing moved although the action should have moved something. A step
     without an observation before it, and one of which nothing is to be said, has a null kind. What the page
     says is raw here; ``hinted`` makes it fit to send. Steps without run or version go."""
-    seen = identified(elements)
+    # three branches read the elements and two the steps with their shapes
+    seen = stored(identified(elements), "seen")
     by = Window.partitionBy("run", "element_id").orderBy("version")
     refused = F.coalesce("invalid", F.lit(False))
     was = F.lag(F.struct("version", refused.alias("invalid"))).over(by)
@@ -86,7 +88,7 @@ def outcomes(elements: DataFrame, steps: DataFrame) -> DataFrame:
     # equal lists give equal sums; a row counts with its place, so order matters
     row = F.struct("n", "element_id", "role", F.coalesce("name", F.lit("")))
     shape = seen.groupBy(*STEP).agg(F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64(row)).alias("a"), F.sum(F.hash(row).cast("long")).alias("b")).alias("shape"))
-    now = steps.dropna(subset=STEP).join(shape, STEP, "left")
+    now = stored(steps.dropna(subset=STEP).join(shape, STEP, "left"), "steps")
     before = now.select("run", (F.col("version") + 1).alias("version"), F.struct("place", "shape").alias("before"))
     rows = now.withColumn("now", F.struct("place", "shape")).join(before, STEP, "left").join(culprit, STEP, "left").join(notices, STEP, "left")
     still = expects_change(F.col("kind"), F.coalesce("submits", F.lit(False))) & F.col("now").eqNullSafe(F.col("before"))
