@@ -82,7 +82,7 @@ def heard_text(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def whole_text(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(page_id, ord, body): all text below each of ``wanted`` (page_id, ord, last), as it stands."""
-    points = rows.where(F.size("pieces") > 0).select("page_id", "size", F.col("ord").alias("at"))
+    points = rows.where(F.size("pieces") > 0).select("page_id", F.col("ord").alias("at"))
     return _put_together(inside(points, wanted).select("page_id", "at", "ord"), rows, False)
 
 
@@ -119,13 +119,13 @@ def facts(rows: DataFrame) -> DataFrame:
     control = rows.where(F.col("tag").isin(CONTROLS))
     label = rows.where("tag = 'label'").select("page_id", "ord", "last", _attr("for").alias("id")).join(heard, KEY)
     by_id = control.select("page_id", "ord", _attr("id").alias("id")).join(label.where("id is not null").select("page_id", "id", F.lit(0).alias("way"), F.col("ord").alias("place"), "body"), ["page_id", "id"])
-    around = inside(control.select("page_id", "size", F.col("ord").alias("at")), label).groupBy("page_id", "at").agg(F.max("ord").alias("ord"))
+    around = inside(control.select("page_id", F.col("ord").alias("at")), rows.where("tag = 'label'").select("page_id", "ord", "last")).groupBy("page_id", "at").agg(F.max("ord").alias("ord"))
     around = around.join(label.select(*KEY, "body"), KEY).select("page_id", F.col("at").alias("ord"), F.lit(1).alias("way"), F.col("ord").alias("place"), "body")
     parts.append(_in_order(by_id.drop("id").unionByName(around), KEY, ["way", "place"]).withColumn("kind", F.lit("label")))
 
     holder = rows.where(F.col("tag").isin(list(CAPTION_OF))).select("page_id", F.col("tag").alias("holder"), "ord", "last")
-    caption = rows.where(F.col("tag").isin(list(CAPTION_OF.values()))).select("page_id", "size", F.col("tag").alias("caption"), F.col("ord").alias("at"))
-    held = inside(caption, holder).join(holder.drop("last"), KEY).join(caption.drop("size"), ["page_id", "at"]).where(F.col("caption") == F.element_at(pages._map(CAPTION_OF), F.col("holder")))
+    caption = rows.where(F.col("tag").isin(list(CAPTION_OF.values()))).select("page_id", F.col("tag").alias("caption"), F.col("ord").alias("at"))
+    held = inside(caption, holder).join(holder.drop("last"), KEY).join(caption, ["page_id", "at"]).where(F.col("caption") == F.element_at(pages._map(CAPTION_OF), F.col("holder")))
     first = held.groupBy(*KEY).agg(F.min("at").alias("target"))
     parts.append(first.join(text_of(heard), ["page_id", "target"]).select(*KEY, "body", F.lit("caption").alias("kind")))
     parts.append(heard.select(*KEY, "body", F.lit("content").alias("kind")))
@@ -163,10 +163,10 @@ def _refused() -> Column:
 
 def choices(rows: DataFrame) -> DataFrame:
     """(page_id, ord, options, chosen): of each select the texts of its options and of the one that holds."""
-    option = rows.where("tag = 'option'").select("page_id", "size", "ord", "last", _has("selected").alias("selected"), (_has("disabled") | F.col("barred")).alias("off"), F.col("attrs")["label"].alias("own"))
+    option = rows.where("tag = 'option'").select("page_id", "ord", "last", _has("selected").alias("selected"), (_has("disabled") | F.col("barred")).alias("off"), F.col("attrs")["label"].alias("own"))
     option = option.join(whole_text(rows, option), KEY, "left").withColumnRenamed("ord", "at")
     owner = rows.where("tag = 'select'").select("page_id", "ord", "last", _has("multiple").alias("many"), F.coalesce(F.col("attrs")["size"].try_cast("int"), F.lit(1)).alias("rows"))
-    held = inside(option.select("page_id", "size", "at"), owner).join(option.drop("size", "last"), ["page_id", "at"]).join(owner.drop("last"), KEY)
+    held = inside(option.select("page_id", "at"), owner).join(option.drop("last"), ["page_id", "at"]).join(owner.drop("last"), KEY)
     text = flat(F.coalesce(F.col("own"), F.col("body"), F.lit("")), OPTION_CHARS)
     one = F.when(F.col("selected"), F.when(F.col("many"), -F.col("at")).otherwise(F.col("at"))).when(~F.col("many") & (F.col("rows") <= 1) & ~F.col("off"), -(1 << 30) - F.col("at"))
     listed = F.slice(F.transform(F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("at", text.alias("o"))))), lambda x: x["o"]), 1, MAX_OPTIONS)
@@ -197,7 +197,7 @@ def elements(html: DataFrame) -> DataFrame:
     )
     refused, flagged = tag.isin(CONTROLS) & _refused(), _is("aria-invalid", "true")
     own = rows_with.select(
-        "page_id", "size", "ord", "last", "tag", "role", name().alias("name"), "text",
+        "page_id", "ord", "last", "tag", "role", name().alias("name"), "text",
         F.coalesce("heard_description", _shown("title"), F.lit("")).alias("description"), value.alias("value"), kind.alias("input_type"),
         F.nullif(F.coalesce(F.col("attrs")["name"], F.col("attrs")["id"]), F.lit("")).alias("field_name"), _attr("placeholder").alias("placeholder"), _attr("autocomplete").alias("autocomplete"),
         (F.col("role").isin(pages.INTERACTIVE) | tag.isin("summary", "label") | ((tag == "a") & _has("href")) | _has("onclick")).alias("interactive"),
@@ -210,10 +210,10 @@ def elements(html: DataFrame) -> DataFrame:
     kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("ord"))).where(F.col("n") <= pages.NODE_CAP)
     kept = stored(kept, "kept-elements")
 
-    point = kept.select("page_id", "size", F.col("ord").alias("at"))
+    point = kept.select("page_id", F.col("ord").alias("at"))
     above = inside(point, kept.where("last > ord").select("page_id", "ord", "last")).where("ord < at").groupBy("page_id", "at").agg(F.max("ord").alias("up"))
     parent = above.join(kept.select("page_id", F.col("ord").alias("up"), F.col("n").alias("parent")), ["page_id", "up"]).select("page_id", F.col("at").alias("ord"), "parent")
-    control = kept.where("editable or interactive").select("page_id", "size", F.col("ord").alias("at"))
+    control = kept.where("editable or interactive").select("page_id", F.col("ord").alias("at"))
     # an element that is its own form is no control of it but stands in it
     form = inside(control, rows.where("tag = 'form'").select("page_id", "ord", "last")).groupBy("page_id", "at").agg(F.max("ord").alias("form"))
     nth = form.groupBy("page_id", "form").agg(F.min("at").alias("first")).select("page_id", "form", F.row_number().over(Window.partitionBy("page_id").orderBy("first")).alias("form_id"))

@@ -35,14 +35,14 @@ ENDS = {
 }
 
 SCHEMA = (
-    "page_id long, ord int, last int, size int, depth int, tag string, attrs map<string,string>, own_text string, in_section boolean, gone boolean, barred boolean, "
+    "page_id long, ord int, last int, depth int, tag string, attrs map<string,string>, own_text string, in_section boolean, gone boolean, barred boolean, "
     "up array<int>, pieces array<struct<pos:int,said:boolean,body:string,block:int,veil:int>>"
 )
 _PIECES = pa.list_(pa.struct([("pos", pa.int32()), ("said", pa.bool_()), ("body", pa.string()), ("block", pa.int32()), ("veil", pa.int32())]))
 _KINDS = [
-    pa.int64(), *[pa.int32()] * 4, pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), *[pa.bool_()] * 3, pa.list_(pa.int32()), _PIECES,
+    pa.int64(), *[pa.int32()] * 3, pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), *[pa.bool_()] * 3, pa.list_(pa.int32()), _PIECES,
 ]
-_NAMES = ["page_id", "ord", "last", "size", "depth", "tag", "attrs", "own_text", "in_section", "gone", "barred", "up", "pieces"]
+_NAMES = ["page_id", "ord", "last", "depth", "tag", "attrs", "own_text", "in_section", "gone", "barred", "up", "pieces"]
 
 
 class _Node:
@@ -130,7 +130,7 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t.close()
             t._close(0)
             rows = [
-                (page, n.ord, n.last, len(t.nodes), n.depth, n.tag, list(n.attrs.items()), "".join(p[2] for p in n.pieces if p[1]), n.in_section, n.gone or n.veil >= 0, n.barred, n.up,
+                (page, n.ord, n.last, n.depth, n.tag, list(n.attrs.items()), "".join(p[2] for p in n.pieces if p[1]), n.in_section, n.gone or n.veil >= 0, n.barred, n.up,
                  [dict(zip(("pos", "said", "body", "block", "veil"), p, strict=True)) for p in n.pieces])
                 for n in t.nodes
             ]
@@ -145,7 +145,7 @@ def trees(pages: DataFrame) -> DataFrame:
 
 
 def inside(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(page_id, at, ord, last): each point (page_id, size, at) with each range (page_id, ord, last) of its
+    """(page_id, at, ord, last): each point (page_id, at) with each range (page_id, ord, last) of its
     page that holds it.
 
     A range is cut into the aligned blocks of 2^k places that make it up, two a level at most; a point
@@ -155,5 +155,7 @@ def inside(points: DataFrame, ranges: DataFrame) -> DataFrame:
     lo, hi = "shiftright(ord + shiftleft(1, k) - 1, k)", "shiftright(last + 1, k)"
     level = f"array(if({lo} < {hi} and {lo} % 2 = 1, named_struct('level', k, 'block', {lo}), null), if({lo} < {hi} and {hi} % 2 = 1, named_struct('level', k, 'block', {hi} - 1), null))"
     cut = ranges.where("ord <= last").select("page_id", "ord", "last", F.explode(F.expr(f"array_compact(flatten(transform(sequence(0, length(bin(last + 1)) - 1), k -> {level})))")).alias("b"))
-    held = points.select("page_id", "at", F.explode(F.expr("transform(sequence(0, length(bin(size)) - 1), k -> named_struct('level', k, 'block', shiftright(at, k)))")).alias("b"))
+    # a point is filed up to the highest level that a range of its page has, and not at all on a page without ranges
+    top = cut.groupBy("page_id").agg(F.max("b.level").alias("top"))
+    held = points.join(top, "page_id").select("page_id", "at", F.explode(F.expr("transform(sequence(0, top), k -> named_struct('level', k, 'block', shiftright(at, k)))")).alias("b"))
     return held.join(cut, ["page_id", "b"]).select("page_id", "at", "ord", "last")

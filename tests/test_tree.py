@@ -165,7 +165,7 @@ def test_ranges_hold_exactly_their_points(spark):
     from palisade.sources.tree import inside
 
     rng = random.Random(3)
-    points = [(p, 300, rng.randrange(300)) for p in range(4) for _ in range(60)]
+    points = [(p, rng.randrange(300)) for p in range(4) for _ in range(60)]
     ranges = [(p, a, min(299, a + rng.choice([0, 1, 2, 7, 100, 299]))) for p in range(4) for a in rng.sample(range(300), 40)] + [(1, 5, 4)]
-    got = sorted(map(tuple, inside(spark.createDataFrame(points, "page_id long, size int, at int"), spark.createDataFrame(ranges, "page_id long, ord int, last int")).collect()))
-    assert got == sorted((p, x, a, b) for p, _, x in points for q, a, b in ranges if p == q and a <= x <= b)
+    got = sorted(map(tuple, inside(spark.createDataFrame(points, "page_id long, at int"), spark.createDataFrame(ranges, "page_id long, ord int, last int")).collect()))
+    assert got == sorted((p, x, a, b) for p, x in points for q, a, b in ranges if p == q and a <= x <= b)
