@@ -169,3 +169,19 @@ def test_ranges_hold_exactly_their_points(spark):
     ranges = [(p, a, min(299, a + rng.choice([0, 1, 2, 7, 100, 299]))) for p in range(4) for a in rng.sample(range(300), 40)] + [(1, 5, 4)]
     got = sorted(map(tuple, inside(spark.createDataFrame(points, "page_id long, at int"), spark.createDataFrame(ranges, "page_id long, ord int, last int")).collect()))
     assert got == sorted((p, x, a, b) for p, x in points for q, a, b in ranges if p == q and a <= x <= b)
+
+
+def test_form_fields_with_cut_references(spark, tmp_path):
+    import duckdb
+
+    from palisade.queries import ORACLE, QUERIES
+
+    heads = ["A &amp; b&amp", "A &amp;&am", "&quot;q&quot; &lt;x&gt; &lt", "plain", "&amp;lt; &"]
+    pages = [(k, f'<html><head><title>{h}</title></head><body><nav><ul><li><a href="/a?b=1&c=2">T{k}&amp;&quot</a></li><li><a href="/z">Z</a></li></ul></nav><article><h1>{h}</h1><p>x</p></article></body></html>') for k, h in enumerate(heads)]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(f"file://{tmp_path}/pages.parquet")
+    found = QUERIES["form_fields"](spark, f"file://{tmp_path}")
+    columns = ", ".join(f'"{c}"' for c in found.columns)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT {columns} FROM ({ORACLE['form_fields']})").fetchall()
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
