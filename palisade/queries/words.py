@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import rect
 from ..operators import screen, words
-from ..sources.derived import table
+from ..sources.derived import dealt, table
 from .registry import Registry
 from .text import _POLICY_SQL, pattern_ctes
 
@@ -85,7 +85,7 @@ def screens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     """Elements, words and stored values by customer: an identifier read in three parts, a labelled phone number,
     an address that reading has cut in two, and a button that repeats the phone number."""
     k = F.col("c_custkey")
-    customers = table(spark, sf_dir, "customer").select(k.alias("page_id"))
+    customers = dealt(table(spark, sf_dir, "customer").select(k.alias("page_id")))
     k = F.col("page_id")
     digits = lambda v, n: F.lpad((v % 10**n).cast("string"), n, "0")
     aadhaar = F.concat(digits(k % 8 + 2, 1), digits(k * 7919, 11))
