@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import re2, sql
+from ..functions.spans import let
 from ..operators import detect_text, fields
-from ..sources.derived import id_candidates, spread, table
+from ..sources.derived import dealt, id_candidates, spread, table
 from ..taxonomy import AUTOCOMPLETE, AUTOCOMPLETE_CONFIDENCE, INPUT_CONFIDENCE, INPUT_TYPES, LABEL_RULES, PASSWORD_INPUT_CONFIDENCE, SEPARATOR_INSENSITIVE
 from .registry import Registry
 from .store import _ENTRY_SQL, entries
@@ -29,7 +30,7 @@ FIELDS_SQL = f"""SELECT p_partkey AS k, {_pick(TYPES, 'p_partkey', len(TYPES))}
 def field_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     pick = lambda values, at: F.get(F.array(*map(F.lit, values)), (at % len(values)).cast("int"))
-    return table(spark, sf_dir, "part").select(
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")).select(
         k.alias("k"), pick(TYPES, k).alias("input_type"), pick(AUTO, F.floor(k / 7)).alias("autocomplete"), pick(NAMES, F.floor(k / 3)).alias("field_name"),
         pick(LABELS, k).alias("name"), F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_name")).alias("placeholder"), (F.col("p_size") % 3 != 0).alias("editable"),
     )
@@ -76,8 +77,9 @@ def declared_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conflicting_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared types against a detected one."""
     seen = F.array(F.get(F.array(*map(F.lit, ["aadhaar", "email", "person_name", "otp"])), (F.col("k") % 4).cast("int")))
-    rows = field_rows(spark, sf_dir).select("k", F.array_distinct(F.transform(_signals(), lambda s: s["pii_type"])).alias("declared"))
-    return rows.where(F.size("declared") > 0).select("k", fields.conflicting(F.col("declared"), seen).alias("conflicting"))
+    declared = F.array_distinct(F.transform(_signals(), lambda s: s["pii_type"]))
+    found = let(declared, lambda d: F.filter(F.array(fields.conflicting(d, seen)), lambda _: F.size(d) > 0))
+    return field_rows(spark, sf_dir).select("k", F.explode(found).alias("conflicting"))
 
 
 @query(f"""

@@ -12,3 +12,17 @@ def test_one_group_of_rows_goes_to_many_tasks(spark, tmp_path):
     kinds = 9
     assert len(rows) >= 10 and max(r.n for r in rows) <= 2 * kinds * derived.TASK_ROWS
     assert sum(r.n for r in rows) == 10 * kinds * derived.TASK_ROWS
+
+
+def test_rows_of_fields_are_dealt_and_judged_as_before(spark, tmp_path):
+    from palisade.queries import QUERIES
+
+    rows = [(k, k % 7, f"name {k}") for k in range(400)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_name string").coalesce(1).write.parquet(f"file://{tmp_path}/part.parquet")
+    signals, verdicts = QUERIES["field_signals"](spark, f"file://{tmp_path}").collect(), QUERIES["conflicting_signals"](spark, f"file://{tmp_path}")
+    declared = {}
+    for r in signals:
+        declared.setdefault(r.k, set()).add(r.pii_type)
+    seen = ["aadhaar", "email", "person_name", "otp"]
+    assert {(r.k, r.conflicting) for r in verdicts.collect()} == {(k, seen[k % 4] not in d) for k, d in declared.items()}
+    assert verdicts.rdd.getNumPartitions() > 1
