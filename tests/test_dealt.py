@@ -26,3 +26,12 @@ def test_rows_of_fields_are_dealt_and_judged_as_before(spark, tmp_path):
     seen = ["aadhaar", "email", "person_name", "otp"]
     assert {(r.k, r.conflicting) for r in verdicts.collect()} == {(k, seen[k % 4] not in d) for k, d in declared.items()}
     assert verdicts.rdd.getNumPartitions() > 1
+
+
+def test_a_leading_boundary_is_short_only_before_a_word_character():
+    from palisade.functions.dialect import java
+
+    for plain in (r"\b[A-Z]{3}\d{7}\b", r"\b(?:\d[ -]?){12,18}\d\b", r"\b(?:a\/c|acc(?:oun)?t|bank)\b"):
+        assert java(plain).startswith("(?<![A-Za-z0-9_])" + plain[2:4])
+    for other in (r"\b[A-Z._]+@", r"\ba?-", r"\b(?:a|-)x", r"\b(?:ab)?-", r"\b(?:ab){0,2}-", r"\ba|b", r"\b\s", r"\b[^a]", r"\b(?:0?[1-9])"):
+        assert java(other).startswith("(?:(?<=[A-Za-z0-9_])(?!")
