@@ -45,3 +45,35 @@ def test_matches_without_split(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
     got = [[(m.start, m.end, m.text) for m in r.m] for r in rows.select(find_all(F.col("t"), r"(?i)A([0-9])[0-9]?", 1).alias("m")).collect()]
     assert got == [[(3, 4, "1"), (7, 8, "2"), (10, 11, "3")], [], [], [], [(3, 4, "7")]]
+
+
+def test_digits_of_long_texts_are_gone_through_once(spark):
+    from palisade.operators import detect_text
+    from palisade.taxonomy import PATTERN_RULES
+
+    rnd = random.Random(11)
+    prose = ["lorem ipsum " * n for n in (1, 2, 15, 40)] + ["ÄÖ😀 \n" * 30, "x" * 17, "x" * 18, "abcde", "AbC", ""]
+    texts = ["".join(rnd.choice(SAMPLES + WORDS + prose + list("0123456789 .\n")) for _ in range(rnd.randrange(1, 14))) for _ in range(600)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    guards = [r.guard for r in PATTERN_RULES if r.by_digit]
+    assert len(guards) >= 16
+    near = detect_text.near_digits(F.col("t"))
+    said = rows.select(F.array(*[F.col("t").rlike(g) for g in guards]).alias("a"), F.array(*[near.rlike(g) for g in guards]).alias("b")).collect()
+    assert [k for k, r in enumerate(said) if r.a != r.b] == [] and all(any(r.a[k] for r in said) for k in range(len(guards)))
+    plain = [r._replace(guard="", words=()) for r in PATTERN_RULES]
+    got = rows.select("t", detect_text.find_patterns(F.col("t")).alias("a"), detect_text.find_patterns(F.col("t"), None, plain).alias("b")).collect()
+    assert [r.t for r in got if r.a != r.b] == [] and sum(len(r.a) for r in got) > 200
+    plan = spark.range(1).select(detect_text.find_patterns(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") >= 1 and all(f"string), {g})" not in plan for g in guards)
+
+
+def test_places_only_of_matches_that_are_kept(spark):
+    from palisade.functions.spans import find_all
+
+    texts = ["a1 a22 b a3", "a22 a22", "", None, "x a4"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    kept = lambda v: F.when(v != "zz", F.length(v) == 2)
+    got = [[(m.start, m.end, m.text) for m in r.m] for r in rows.select(find_all(F.col("t"), "a[0-9]+", keep=kept).alias("m")).collect()]
+    assert got == [[(0, 2, "a1"), (9, 11, "a3")], [], [], [], [(2, 4, "a4")]]
+    ends = [[(m.start, m.text) for m in r.m] for r in rows.select(find_all(F.col("t"), "a([0-9]+)", 1, keep=lambda v: v == "22").alias("m")).collect()]
+    assert ends == [[(4, "22")], [(1, "22"), (5, "22")], [], [], []]
