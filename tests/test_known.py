@@ -71,3 +71,15 @@ def test_known_values_go_before_shapes_and_labels(spark):
     assert [(s.start, s.end, s.source) for s in got[1].spans] == [(5, 11, "known_value"), (25, 32, "known_value")]
     assert got[1].said == "mail <HIDDEN_PERSON_NAME>.org, my name <HIDDEN_SECRET_TOKEN> Rao and more"
     assert got[2].said == "password: <HIDDEN_PASSWORD>" and got[3].said is None
+
+
+def test_grams_of_texts_are_found_once(spark):
+    from palisade.operators import detect_text
+
+    texts = spark.createDataFrame([(1, "Straße Nord 12 and more"), (2, "nothing here"), (3, "12-34 56/78.9 0"), (4, None)], "k long, text string")
+    known = spark.createDataFrame([("person_name", "STRASSE nord", "a"), ("pan", "1234567890", "b"), ("email", "absent@x.org", "c")], "pii_type string, value string, slot string")
+    found = detect_text.known_candidates(texts, known, "text", ["k"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("LocalRelation")
+    # what is joined at last are stored grams: no text is cut into grams again
+    assert not any("text#" in part for part in plan)
+    assert {(r.k, r.slot) for r in found.collect()} == {(1, "a"), (3, "b")}
