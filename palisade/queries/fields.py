@@ -136,10 +136,13 @@ def known_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def separated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers found although the text has separators in other places (pattern by row)."""
-    ids = id_candidates(spark, sf_dir).where("kind in ('aadhaar', 'card')").select("k", F.when(F.col("kind") == "card", "credit_card").otherwise("aadhaar").alias("pii_type"), "value")
+    ids = id_candidates(spark, sf_dir, ("aadhaar", "card")).select("k", F.when(F.col("kind") == "card", "credit_card").otherwise("aadhaar").alias("pii_type"), "value")
     written = F.concat(F.lit("no. "), F.substring("value", 1, 4), F.lit(" "), F.substring("value", 5, 4), F.lit("-"), F.expr("substring(value, 9)"), F.lit("!"))
-    hits = detect_text.find_all(written, detect_text.search_pattern(F.col("pii_type"), F.col("value")))
-    return ids.select("k", "pii_type", F.size(hits).alias("hits"), F.get(hits, F.lit(0))["end"].alias("end"))
+    # both types are looked for without boundaries; text and pattern are made once a row, and so are the hits
+    sought = F.struct(written.alias("text"), detect_text.search_pattern(F.col("pii_type"), F.col("value")).alias("rx"))
+    hits = let(sought, lambda s: detect_text.find_all(s["text"], s["rx"], alone=True))
+    found = let(hits, lambda h: F.struct(F.size(h).alias("hits"), F.get(h, F.lit(0))["end"].alias("end")))
+    return ids.select("k", "pii_type", F.inline(F.array(found)))
 
 
 @query(f"SELECT pii_type, pii_type IN ({', '.join(sql(t) for t in SEPARATOR_INSENSITIVE)}) AS separators_ignored, count(*) AS entries FROM ({_ENTRY_SQL}) GROUP BY pii_type")
