@@ -24,3 +24,14 @@ def test_only_the_kinds_asked_for_are_made(spark, tmp_path):
     some, every = derived.id_candidates(spark, path, ("aadhaar", "card")), derived.id_candidates(spark, path)
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.where("kind in ('aadhaar', 'card')").collect()))
     assert "GSTIN" not in some._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_downloads_are_dealt_by_their_number(spark, monkeypatch):
+    from palisade.operators import session
+
+    monkeypatch.setattr(session, "TASK_EVENTS", 20, raising=False)
+    waits = spark.range(300).select(F.col("id").alias("k"), F.lit(1000).alias("at_ms"))
+    events = waits.where("k % 3 > 0").select("k", F.lit(1).alias("id"), F.inline(F.array(*[F.struct(F.lit(n).alias("kind"), F.lit(ms).alias("at_ms")) for n, ms in (("created", 1500), ("complete", 1600))])))
+    out = session.download_outcomes(waits, events)
+    assert out.rdd.getNumPartitions() >= 20
+    assert {(r.k, r.outcome) for r in out.collect()} == {(k, "complete" if k % 3 else "none") for k in range(300)}
