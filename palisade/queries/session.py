@@ -350,7 +350,8 @@ def line_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM ({SIGNALS_SQL}) WHERE confidence >= 0.5 GROUP BY k""")
 def wanted_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each field asks for, by its strongest signal."""
-    return field_rows(spark, sf_dir).select("k", session.strongest(_signals()).alias("pii_type")).where("pii_type is not null")
+    # a condition on the type would be pushed before its projection, and the signals found twice
+    return field_rows(spark, sf_dir).select("k", F.explode(F.array_compact(F.array(session.strongest(_signals())))).alias("pii_type"))
 
 
 QUERIES, ORACLE = query.queries, query.oracle
