@@ -45,7 +45,7 @@ def known_in(texts: DataFrame, vault: DataFrame) -> DataFrame:
     that it holds; of overlapping ones the longest, then the first."""
     rx = detect_text.search_pattern(F.col("pii_type"), F.col("value"))
     wanted = vault.select("page_id", F.col("seq").cast("long").alias("vseq"), "pii_type", "slot", rx.alias("rx")).where("rx is not null")
-    pairs = texts.select("page_id", "tid", "body").join(wanted, "page_id").where(F.regexp_like("body", "rx"))
+    pairs = texts.select("page_id", "tid", "body").join(wanted, "page_id")
     hits = pairs.select("page_id", "tid", "pii_type", "slot", "vseq", F.inline(find_all(F.col("body"), F.col("rx")))).where("text <> ''")
     ranked = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("longest"), "start", "vseq", "end", "pii_type", "slot", "text")))
     kept = hits.groupBy("page_id", "tid").agg(fold_non_overlap(ranked).alias("m")).select("page_id", "tid", F.inline("m"))
@@ -120,7 +120,7 @@ def everywhere(found: DataFrame, texts: DataFrame, single: DataFrame) -> DataFra
     )
     wanted = confirmed.select("page_id", "pii_type", "confidence", "slot", "first", detect_text.search_pattern(F.col("pii_type"), F.col("value")).alias("rx")).where("rx is not null")
     by = F.when(F.col("slot").isNull(), "pattern").otherwise("known_value")
-    pairs = texts.join(wanted, "page_id").where(F.regexp_like("body", "rx"))
+    pairs = texts.join(wanted, "page_id")
     hits = pairs.select("*", F.inline(find_all(F.col("body"), F.col("rx")))).where("text <> ''")
     place = {"location": F.col("element_id"), "element_id": F.col("element_id"), "field": F.col("field"), "start": F.col("start"), "end": F.col("end"), "rect": _place()}
     others = _detections(hits, **place, detector=by, slot=F.col("slot"), matched_text=F.col("text"), seq=3 * _STEP + F.col("first"))
@@ -141,6 +141,8 @@ def detections(elements: DataFrame, screen_words: DataFrame, vault: DataFrame) -
     element; vault: (page_id, seq, pii_type, value, slot)."""
     texts = scannable(elements)
     single, lines = read_texts(screen_words)
+    # lines are put together in Python and read three times
+    lines = stored(lines, "lines")
     # evidence of all channels is read twice: as it is, and for what it confirms
     found = stored(in_elements(elements, texts, vault).unionByName(in_words(single, lines, vault)), "detections")
     return found.unionByName(everywhere(found, texts, single))

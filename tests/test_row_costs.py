@@ -87,3 +87,11 @@ def test_wanted_types_find_signals_once_and_as_before(spark, tmp_path):
     rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", label_signal(F.col("t"), F.lit(""), F.lit(""))["pii_type"].alias("got"), *[F.col("t").rlike(java(r.pattern, True)).alias(f"r{i}") for i, r in enumerate(LABEL_RULES)])
     for r in rows.collect():
         assert r.got == next((x.pii_type for i, x in enumerate(LABEL_RULES) if r[f"r{i}"]), None), r.t
+
+
+def test_lines_of_a_screen_are_put_together_once(spark, tmp_path):
+    from palisade.queries import QUERIES
+
+    spark.range(40).select(F.col("id").alias("c_custkey")).write.parquet(f"file://{tmp_path}/customer.parquet")
+    plan = QUERIES["screen_findings"](spark, f"file://{tmp_path}")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
