@@ -40,16 +40,22 @@ def _detections(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select(*[(given[c] if c in given else F.col(c)).cast(types[c]).alias(c) if c in types else (given[c] if c in given else F.col(c)).alias(c) for c in DETECTION])
 
 
+def by_page(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """A join whose sides both grow with the pages, and so go to executors by their keys: estimates of size, which start
+    from compressed files, would have a side gathered on the driver for broadcast."""
+    return left.join(right.hint("merge"), keys, how)
+
+
 def known_in(texts: DataFrame, vault: DataFrame) -> DataFrame:
     """``texts`` (page_id, tid, body ...) with a row (start, end, text, pii_type, slot) for each stored value of its page
     that it holds; of overlapping ones the longest, then the first."""
     rx = detect_text.search_pattern(F.col("pii_type"), F.col("value"))
     wanted = vault.select("page_id", F.col("seq").cast("long").alias("vseq"), "pii_type", "slot", rx.alias("rx")).where("rx is not null")
-    pairs = texts.select("page_id", "tid", "body").join(wanted, "page_id")
+    pairs = by_page(texts.select("page_id", "tid", "body"), wanted, "page_id")
     hits = pairs.select("page_id", "tid", "pii_type", "slot", "vseq", F.inline(find_all(F.col("body"), F.col("rx")))).where("text <> ''")
     ranked = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("longest"), "start", "vseq", "end", "pii_type", "slot", "text")))
     kept = hits.groupBy("page_id", "tid").agg(fold_non_overlap(ranked).alias("m")).select("page_id", "tid", F.inline("m"))
-    return texts.join(kept.drop("longest", "vseq"), ["page_id", "tid"])
+    return by_page(texts, kept.drop("longest", "vseq"), ["page_id", "tid"])
 
 
 def scannable(elements: DataFrame) -> DataFrame:
@@ -120,15 +126,15 @@ def everywhere(found: DataFrame, texts: DataFrame, single: DataFrame) -> DataFra
     )
     wanted = confirmed.select("page_id", "pii_type", "confidence", "slot", "first", detect_text.search_pattern(F.col("pii_type"), F.col("value")).alias("rx")).where("rx is not null")
     by = F.when(F.col("slot").isNull(), "pattern").otherwise("known_value")
-    pairs = texts.join(wanted, "page_id")
+    pairs = by_page(texts, wanted, "page_id")
     hits = pairs.select("*", F.inline(find_all(F.col("body"), F.col("rx")))).where("text <> ''")
     place = {"location": F.col("element_id"), "element_id": F.col("element_id"), "field": F.col("field"), "start": F.col("start"), "end": F.col("end"), "rect": _place()}
     others = _detections(hits, **place, detector=by, slot=F.col("slot"), matched_text=F.col("text"), seq=3 * _STEP + F.col("first"))
     there = found.where("element_id is not null and start is not null").select(*PLACE).distinct()
-    others = others.join(there, PLACE, "left_anti")
+    others = by_page(others, there, PLACE, "left_anti")
     # of two literals that are found at one place the first counts
     once = others.groupBy(*PLACE).agg(F.min_by(F.struct(*[c for c in DETECTION if c not in PLACE]), "seq").alias("d")).select(*PLACE, "d.*").select(*DETECTION)
-    read = single.join(wanted.withColumnRenamed("confidence", "found"), "page_id").where(F.regexp_like("body", "rx"))
+    read = by_page(single, wanted.withColumnRenamed("confidence", "found"), "page_id").where(F.regexp_like("body", "rx"))
     again = _detections(read, location=at_rect(F.col("rect")), confidence=words.discounted(F.col("found"), F.col("read")), detector=by, slot=F.col("slot"), matched_text=F.col("body"), seq=3 * _STEP + F.col("first"))
     return once.unionByName(again)
 
@@ -174,4 +180,4 @@ def _below(found: DataFrame, kept: DataFrame) -> DataFrame:
     places = found.groupBy("page_id").agg(F.count_distinct(F.struct(*PLACE)).alias("all"))
     stay = kept.groupBy("page_id").agg(F.count("*").alias("stay"))
     n = F.col("all") - F.coalesce("stay", F.lit(0))
-    return places.join(stay, "page_id", "left").select("page_id", F.lit("below").alias("kind"), F.lit("").alias("name"), n.alias("n")).where("n > 0")
+    return by_page(places, stay, "page_id", "left").select("page_id", F.lit("below").alias("kind"), F.lit("").alias("name"), n.alias("n")).where("n > 0")

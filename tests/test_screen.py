@@ -80,3 +80,11 @@ def test_values_go_everywhere_once_confirmed(seen):
 
 def test_nothing_to_see(spark):
     assert run(spark) == ({}, {})
+
+
+def test_no_side_of_a_page_join_is_broadcast(spark, tmp_path):
+    from palisade.queries import QUERIES
+
+    spark.range(40).select(F.col("id").alias("c_custkey")).write.parquet(f"file://{tmp_path}/customer.parquet")
+    found = QUERIES["screen_findings"](spark, f"file://{tmp_path}")
+    assert found.count() > 40 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
