@@ -33,3 +33,12 @@ def test_bytes_that_are_no_text(spark):
 
     bad = spark.range(1).select(F.unhex(F.lit("FF20")).alias("b")).select(F.concat(F.col("b"), F.lit("A1234567").cast("binary")).cast("string").alias("t"))
     assert [[(m.start, m.text) for m in r.m] for r in bad.select(find_patterns(F.col("t")).alias("m")).collect()] == [[(2, "A1234567")]]
+
+
+def test_addresses_are_found_with_one_pattern(spark):
+    from palisade.operators.detect_text import sanitize_urls
+
+    texts = ["a HTTP://U:p@X.org:80/a?b http://x.org, http://x.org http://x.orgs", "http:// https://", "é😀 https://h:1/'https://h:1/b", "none", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1).select("k", sanitize_urls(F.col("t")).alias("s"))
+    assert "(.*?)" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.s for r in sorted(rows.collect())] == ["a http://x.org http://x.org, http://x.org http://x.orgs", "http:// https://", "é😀 https://h:1'https://h:1", "none", "", None]
